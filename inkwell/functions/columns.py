@@ -16,6 +16,9 @@ DEFAULT_AS_OF = _dt.date(2001, 8, 1)
 # Money columns carry at most 4 decimals (price x (1 - discount)); summing
 # them as DECIMAL makes totals exact and independent of summation order.
 MONEY = "decimal(18,4)"
+# Unit prices (price / quantity, quantity <= 50) terminate within 7 decimals
+# or are far from a rounding tie, so 8 decimals convert identically everywhere.
+UNIT = "decimal(18,8)"
 
 
 def col(c: str | Column) -> Column:

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import as_of_lit, exact_avg, exact_sum, pct_change
+from inkwell.functions.columns import UNIT, as_of_lit, exact_avg, exact_sum, pct_change
 
 # Re-summing totals that are already sums needs more integer digits.
 TOTAL = "decimal(28,4)"
@@ -21,8 +21,8 @@ def sales_daily_rollup(fact_sales: DataFrame) -> DataFrame:
         F.sum("quantity").alias("total_quantity"),
         exact_sum("total_amount").alias("total_revenue"),
         exact_avg("total_amount").alias("avg_transaction_value"),
-        F.avg("unit_price").alias("avg_unit_price"),
-        F.avg("discount_percent").alias("avg_discount_percent"),
+        exact_avg("unit_price", UNIT).alias("avg_unit_price"),
+        exact_avg("discount_percent").alias("avg_discount_percent"),
     )
 
 

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import as_of_lit, days_between, exact_avg, exact_sum, sql_day_of_week
+from inkwell.functions.columns import UNIT, as_of_lit, days_between, exact_avg, exact_sum, sql_day_of_week
 
 
 def book_sales_metrics(fact_sales: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def book_sales_metrics(fact_sales: DataFrame) -> DataFrame:
         F.sum("quantity").alias("total_quantity_sold"),
         exact_sum("total_amount").alias("total_revenue"),
         exact_avg("total_amount").alias("avg_transaction_value"),
-        F.avg("unit_price").alias("avg_selling_price"),
-        F.avg("discount_percent").alias("avg_discount"),
+        exact_avg("unit_price", UNIT).alias("avg_selling_price"),
+        exact_avg("discount_percent").alias("avg_discount"),
         F.count_distinct("channel").alias("num_channels"),
         F.count_distinct("region").alias("num_regions"),
         F.min("sale_date").alias("first_sale_date"),

@@ -62,3 +62,7 @@ SELECT book_id, genre, length_category, price_category, recency_category, publis
   avg_selling_price, total_quantity_sold, velocity_score
 FROM book_features WHERE total_transactions > 0""", "book_features"))(
     lambda m: _fe.active_book_features(m.book_features))
+
+
+# Further query groups register themselves on import.
+from inkwell.plans import q_quality, q_dashboards  # noqa: E402,F401

@@ -19,9 +19,12 @@ JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A join side is broadcast only when its measured size is under this
-    # bound (static stats or AQE runtime stats); otherwise sort-merge.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Broadcast is size-checked twice: the static bound is small because,
+    # without CBO, a join's output is estimated as the product of its
+    # inputs (a big fact side then looks smaller than a joined dimension);
+    # AQE re-plans with the measured shuffle sizes under the larger bound.
+    # Anything beyond stays a sort-merge join (skewed partitions split).
+    "spark.sql.autoBroadcastJoinThreshold": str(2 * 1024 * 1024),
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
