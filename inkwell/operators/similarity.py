@@ -49,6 +49,10 @@ def feature_vectors(items: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
                     categories: dict[str, list[str]] | None = None) -> DataFrame:
     """(book_id, vec array<double>) of unit-length standardised features."""
     categories = dict(categories or {})
+    keep = ["book_id", *numeric, *[c for c in categorical if c in items.columns]]
+    # Written once to the checkpoint folder: the vocabulary, statistics and
+    # vector passes then read it instead of recomputing its lineage.
+    items = items.select(*keep).checkpoint()
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(numeric)]
     for c in categorical:
         if c not in items.columns:
@@ -122,6 +126,7 @@ def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFA
                          blocks: int | None = None) -> DataFrame:
     """(book_id, other_id, similarity_score, rank) for each item's k most
     similar other items, exact over the whole catalogue."""
+    vectors = vectors.checkpoint()
     if blocks is None:
         blocks = n_blocks(vectors.count(), block_size)
     pairs = _block_pairs(vectors, blocks)
@@ -175,7 +180,8 @@ def user_recommendations(vectors: DataFrame, interactions: DataFrame, users: lis
         *[F.coalesce(F.sum(F.when(F.col("user_id") == u, F.col("rating").cast("double"))), F.lit(0.0))
           .alias(f"r{i}") for i, u in enumerate(users)])
     per_item = per_item.select("book_id", F.array(*[f"r{i}" for i in range(len(users))]).alias("ratings"))
-    vec = vectors.join(per_item, "book_id")  # candidates and owned items are interaction items
+    # candidates and owned items are interaction items
+    vec = vectors.join(per_item, "book_id").checkpoint()
     if blocks is None:
         blocks = n_blocks(vec.count(), block_size)
     pairs = _block_pairs(vec, blocks, extra=("ratings",))
