@@ -26,17 +26,21 @@ def new_rows(target: DataFrame, batch: DataFrame, mark: str = "created_at") -> D
     return batch.where(hwm.isNull() | (F.col(mark) > hwm))
 
 
-def upsert(target: DataFrame, batch: DataFrame, key: str = "transaction_id",
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def upsert(target: DataFrame, batch: DataFrame, key: str | list[str] = "transaction_id",
            mark: str | None = "created_at") -> DataFrame:
     """Whole merged table: target rows whose key is not in the batch,
     plus the (newer) batch rows. Schema change fails before any work."""
     assert_schema(batch, target.schema, "incremental batch")
     fresh = new_rows(target, batch, mark) if mark else batch
-    keep = target.join(fresh.select(key), key, "left_anti")
+    keep = target.join(fresh.select(*_keys(key)), _keys(key), "left_anti")
     return keep.unionByName(fresh)
 
 
-def upsert_partitions(target: DataFrame, batch: DataFrame, key: str = "transaction_id",
+def upsert_partitions(target: DataFrame, batch: DataFrame, key: str | list[str] = "transaction_id",
                       mark: str | None = "created_at",
                       partition_cols: tuple[str, ...] = PARTITION_COLUMNS) -> DataFrame:
     """Only the rewritten partitions: target rows of the partitions the
@@ -45,22 +49,28 @@ def upsert_partitions(target: DataFrame, batch: DataFrame, key: str = "transacti
     fresh = new_rows(target, batch, mark) if mark else batch
     touched = fresh.select(*partition_cols).distinct()
     scope = target.join(touched, list(partition_cols), "left_semi")
-    keep = scope.join(fresh.select(key), key, "left_anti")
+    keep = scope.join(fresh.select(*_keys(key)), _keys(key), "left_anti")
     return keep.unionByName(fresh)
 
 
 def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
-                 key: str = "transaction_id", mark: str | None = "created_at",
+                 key: str | list[str] = "transaction_id", mark: str | None = "created_at",
                  partition_cols: tuple[str, ...] = PARTITION_COLUMNS) -> DataFrame:
     """Apply a batch to a partitioned Parquet table in place, rewriting only
     the touched partitions (dynamic overwrite). The merged partitions are
     first written to a staging folder beside the table, because a Parquet
     table cannot be read and overwritten by the same job."""
+    if batch.isEmpty():  # e.g. a no-data micro-batch
+        return spark.read.parquet(target_path) if _exists(spark, target_path) else batch
+    if not _exists(spark, target_path):  # first batch creates the table
+        batch.write.mode("overwrite").partitionBy(*partition_cols).parquet(target_path)
+        return spark.read.parquet(target_path)
     target = spark.read.parquet(target_path)
+    batch = batch.select(*target.columns)
     merged = upsert_partitions(target, batch, key, mark, partition_cols)
     staging = target_path.rstrip("/") + "__staging"
     merged.write.mode("overwrite").partitionBy(*partition_cols).parquet(staging)
-    staged = spark.read.parquet(staging).select(*target.columns)
+    staged = spark.read.schema(target.schema).parquet(staging).select(*target.columns)
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
@@ -68,3 +78,12 @@ def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
     return spark.read.parquet(target_path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a (Hadoop-compatible) path exists, asked through the JVM's
+    file system API so it works for any shared store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
