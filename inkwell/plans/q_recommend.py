@@ -169,7 +169,7 @@ def _user_recs(m):
     return S.user_recommendations(vectors(m), inter, users_of(inter), n=10)
 
 
-register("user_recommendations", build("""
+cte("user_recommendations", """
 WITH iv AS (
   SELECT v.book_id, v.v FROM item_vec v WHERE v.book_id IN (SELECT book_id FROM user_item_interactions)),
 usr AS (SELECT DISTINCT user_id FROM user_item_interactions),
@@ -185,4 +185,6 @@ SELECT user_id, book_id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT user_id, book_id, num / den AS score,
     row_number() OVER (PARTITION BY user_id ORDER BY round(num / den, 9) DESC, book_id) AS rank
   FROM sc WHERE den > 0) r
-WHERE rank <= 10""", "item_vec", "user_item_interactions"))(_user_recs)
+WHERE rank <= 10""", "item_vec", "user_item_interactions")
+register("user_recommendations", build("SELECT * FROM user_recommendations", "user_recommendations"))(
+    _user_recs)

@@ -65,4 +65,4 @@ FROM book_features WHERE total_transactions > 0""", "book_features"))(
 
 
 # Further query groups register themselves on import.
-from inkwell.plans import q_quality, q_dashboards, q_recommend, q_forecast, q_content, q_streaming  # noqa: E402,F401
+from inkwell.plans import q_quality, q_dashboards, q_recommend, q_forecast, q_content, q_streaming, q_extras  # noqa: E402,F401
