@@ -19,7 +19,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from inkwell.plans.models import TABLE_MODELS, VIEW_MODELS, Models  # noqa: E402
-from inkwell.plans.registry import REGISTRY  # noqa: E402
+from inkwell.plans.catalog import REGISTRY  # noqa: E402
 from inkwell.session import local_session  # noqa: E402
 
 # Headline queries beyond the model run (present ones are timed).

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 NUMERIC_FEATURES = ["price", "page_count", "publication_year", "total_sales", "velocity_score",
                     "avg_selling_price"]
 CATEGORY_FEATURES = ["genre", "price_category", "publisher_type"]
-DEFAULT_BLOCK = 2048
+DEFAULT_BLOCK = 4096  # items per block: a group holds two blocks, ~0.5 GB of products
 
 
 def _with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -37,11 +37,19 @@ def _with_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
             .join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one").drop("_one"))
 
 
-def category_values(items: DataFrame, column: str) -> list[str]:
-    """Distinct non-NULL values of a categorical column (a small domain,
-    like the labels a StringIndexer collects)."""
-    rows = items.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()
-    return [r[0] for r in rows]
+def category_values(items: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
+    """Distinct non-NULL values of categorical columns, in one job (small
+    domains, like the labels a StringIndexer collects)."""
+    if not columns:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                for c in columns]))
+    rows = (items.select(pairs.alias("p")).select("p.c", "p.v").where(F.col("v").isNotNull())
+            .distinct().orderBy("c", "v").collect())
+    out: dict[str, list[str]] = {c: [] for c in columns}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return out
 
 
 def feature_vectors(items: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
@@ -54,10 +62,11 @@ def feature_vectors(items: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
     # vector passes then read it instead of recomputing its lineage.
     items = items.select(*keep).checkpoint()
     cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"f{i}") for i, c in enumerate(numeric)]
-    for c in categorical:
-        if c not in items.columns:
-            continue
-        for v in categories.get(c) or category_values(items, c):
+    present = [c for c in categorical if c in items.columns]
+    missing = [c for c in present if not categories.get(c)]
+    categories.update(category_values(items, missing))
+    for c in present:
+        for v in categories[c]:
             cols.append(F.when(F.col(c) == v, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"f{len(cols)}"))
     names = [f"f{i}" for i in range(len(cols))]
     x = items.select("book_id", *cols)
@@ -96,15 +105,24 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _topk_rows(ids_a, ids_b, sim, k) -> pd.DataFrame:
     """Per row of ``sim`` (a x b), the k best columns by (round(score, 9)
-    desc, id asc), never the row's own id."""
+    desc, id asc), never the row's own id. The k-th best key of each row
+    is found by partial selection; only columns at or above it (ties
+    included) are sorted, so the result is exact."""
     key = np.where(ids_a[:, None] == ids_b[None, :], -np.inf, np.round(sim, 9))
     kk = min(k, sim.shape[1])
-    order = np.argsort(-key, axis=1, kind="stable")[:, :kk]  # columns are id-sorted
-    rows = np.repeat(np.arange(sim.shape[0]), kk)
-    cols = order.reshape(-1)
-    ok = np.isfinite(key[rows, cols])
-    return pd.DataFrame({"book_id": ids_a[rows][ok], "other_id": ids_b[cols][ok],
-                         "similarity_score": sim[rows, cols][ok]})
+    if kk == 0 or sim.shape[0] == 0:
+        return pd.DataFrame({"book_id": np.zeros(0, np.int64), "other_id": np.zeros(0, np.int64),
+                             "similarity_score": np.zeros(0)})
+    kth = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
+    rows, cols = np.nonzero((key >= kth[:, None]) & np.isfinite(key))
+    vals = key[rows, cols]
+    order = np.lexsort((ids_b[cols], -vals, rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = (np.arange(len(rows)) - first) < kk
+    rows, cols = rows[keep], cols[keep]
+    return pd.DataFrame({"book_id": ids_a[rows], "other_id": ids_b[cols],
+                         "similarity_score": sim[rows, cols]})
 
 
 def _pair_topk(k: int):

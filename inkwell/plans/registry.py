@@ -63,6 +63,3 @@ SELECT book_id, genre, length_category, price_category, recency_category, publis
 FROM book_features WHERE total_transactions > 0""", "book_features"))(
     lambda m: _fe.active_book_features(m.book_features))
 
-
-# Further query groups register themselves on import.
-from inkwell.plans import q_quality, q_dashboards, q_recommend, q_forecast, q_content, q_streaming, q_extras  # noqa: E402,F401
