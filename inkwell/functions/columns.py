@@ -72,3 +72,15 @@ def sql_day_of_week(d: Column) -> Column:
 
 def days_between(later: Column, earlier: Column) -> Column:
     return F.datediff(later, earlier).cast("bigint")
+
+
+def since(df, as_of=None, days: int = 30, date_col: str = "sale_date", year_col: str = "sale_year"):
+    """Rows dated on or after ``as_of - days``. When the frame carries the
+    year partition column, the same bound is also stated on it, so a table
+    partitioned by year skips whole folders (Spark does not derive that
+    from the date predicate)."""
+    cutoff = F.date_sub(as_of_lit(as_of), days)
+    out = df.where(F.col(date_col) >= cutoff)
+    if year_col in df.columns:
+        out = out.where(F.col(year_col) >= F.year(cutoff))
+    return out

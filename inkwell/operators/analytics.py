@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import UNIT, as_of_lit, exact_avg, exact_sum, pct_change
+from inkwell.functions.columns import UNIT, exact_avg, exact_sum, pct_change, since
 
 # Re-summing totals that are already sums needs more integer digits.
 TOTAL = "decimal(28,4)"
@@ -53,7 +53,7 @@ def sales_velocity_30d(fact_sales: DataFrame, as_of: _dt.date | str | None = Non
                        days: int = 30) -> DataFrame:
     """Sales per book since ``as_of - days`` (the date filter reaches the
     scan / partition filter before aggregation)."""
-    recent = fact_sales.where(F.col("sale_date") >= F.date_sub(as_of_lit(as_of), days))
+    recent = since(fact_sales, as_of, days)
     return recent.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("transaction_count_30d"),
         F.sum("quantity").alias("units_sold_30d"),

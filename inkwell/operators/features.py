@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import UNIT, as_of_lit, days_between, exact_avg, exact_sum, sql_day_of_week
+from inkwell.functions.columns import UNIT, as_of_lit, days_between, exact_avg, exact_sum, since, sql_day_of_week
 
 
 def book_sales_metrics(fact_sales: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def book_sales_metrics(fact_sales: DataFrame) -> DataFrame:
 
 def recent_performance_30d(fact_sales: DataFrame, as_of: _dt.date | str | None = None,
                            days: int = 30) -> DataFrame:
-    recent = fact_sales.where(F.col("sale_date") >= F.date_sub(as_of_lit(as_of), days))
+    recent = since(fact_sales, as_of, days)
     return recent.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("transactions_last_30d"),
         F.sum("quantity").alias("quantity_sold_last_30d"),

@@ -14,7 +14,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions.columns import UNIT, as_of_lit, exact_avg
+from inkwell.functions.columns import UNIT, exact_avg, since
 
 MAX_N = 50  # request limit of the source API: 1 <= n <= 50
 
@@ -26,7 +26,7 @@ def check_n(n: int) -> int:
 
 
 def _since(fact_sales: DataFrame, as_of, days: int) -> DataFrame:
-    return fact_sales.where(F.col("sale_date") >= F.date_sub(as_of_lit(as_of), days))
+    return since(fact_sales, as_of, days)
 
 
 # ---------------------------------------------------------------------------

@@ -50,3 +50,9 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def append_table(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """CSV export with a header row (written by the executors, one file
+    per task; nothing passes through the driver)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
