@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from inkwell.operators import extras as X
 from inkwell.operators import features as FE
 from inkwell.operators import recommend as R
+from inkwell.operators import retrieval as RT
 from inkwell.operators import similarity as S
 from inkwell.plans import q_recommend as QR
 from inkwell.plans.oracle import AS_OF, build
@@ -149,3 +150,24 @@ SELECT book_id, other_id, similarity_score, CAST(rank AS INTEGER) AS rank FROM (
     row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.v, b.v), 9) DESC, b.vec_id) AS rank
   FROM v a JOIN v b ON a.vec_id <> b.vec_id) p
 WHERE rank <= 5"""))(lambda m: S.item_similarity_topk(X.embedding_vectors(m.source("embeddings")), k=5))
+
+# BM25 half of the retrieval settings: benchmark texts are the queries,
+# documents the corpus (Okapi k1 = 1.5, b = 0.75, epsilon = 0.25).
+_TOK = r"list_filter(regexp_split_to_array(lower(COALESCE({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+register("bm25_topk", build(f"""
+WITH d AS (SELECT doc_id, {_TOK.format(c='text')} AS toks FROM documents),
+st AS (SELECT COUNT(*) AS n, AVG(len(toks)) AS avgdl FROM d),
+tf AS (SELECT doc_id, term, MAX(dl) AS dl, COUNT(*) AS tf
+       FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d) x GROUP BY doc_id, term),
+df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term),
+i0 AS (SELECT term, ln(st.n - df + 0.5) - ln(df + 0.5) AS raw FROM df, st),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT AVG(raw) FROM i0) ELSE raw END AS idf FROM i0),
+q AS (SELECT item_id, term, COUNT(*) AS qtf
+      FROM (SELECT item_id, unnest({_TOK.format(c='text')}) AS term FROM benchmark) x GROUP BY item_id, term),
+s AS (SELECT q.item_id, tf.doc_id,
+        SUM(q.qtf * idf.idf * (tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / st.avgdl)))) AS bm25_score
+      FROM q JOIN idf ON q.term = idf.term JOIN tf ON tf.term = q.term, st
+      GROUP BY q.item_id, tf.doc_id)
+SELECT item_id, doc_id, bm25_score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM s) r
+WHERE rank <= 5"""))(lambda m: RT.bm25_topk(m.source("benchmark"), m.source("documents"), k=5))
