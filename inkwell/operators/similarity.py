@@ -105,17 +105,27 @@ def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _topk_rows(ids_a, ids_b, sim, k) -> pd.DataFrame:
     """Per row of ``sim`` (a x b), the k best columns by (round(score, 9)
-    desc, id asc), never the row's own id. The k-th best key of each row
-    is found by partial selection; only columns at or above it (ties
-    included) are sorted, so the result is exact."""
-    key = np.where(ids_a[:, None] == ids_b[None, :], -np.inf, np.round(sim, 9))
+    desc, id asc), never the row's own id (``ids_b`` is sorted). The k-th
+    best raw score of each row is found by partial selection; only the
+    columns within rounding distance of it (ties included) are rounded and
+    sorted, so the result is exact."""
     kk = min(k, sim.shape[1])
     if kk == 0 or sim.shape[0] == 0:
         return pd.DataFrame({"book_id": np.zeros(0, np.int64), "other_id": np.zeros(0, np.int64),
                              "similarity_score": np.zeros(0)})
-    kth = -np.partition(-key, kk - 1, axis=1)[:, kk - 1]
-    rows, cols = np.nonzero((key >= kth[:, None]) & np.isfinite(key))
-    vals = key[rows, cols]
+    work = sim
+    pos = np.minimum(np.searchsorted(ids_b, ids_a), len(ids_b) - 1)
+    own = ids_b[pos] == ids_a
+    if own.any():
+        work = sim.copy()
+        work[np.nonzero(own)[0], pos[own]] = -np.inf
+    n = work.shape[1]
+    kth = np.partition(work, n - kk, axis=1)[:, n - kk]
+    # round(x, 9) >= round(kth, 9) implies x >= round(kth, 9) - 5e-10.
+    rows, cols = np.nonzero(work >= (np.round(kth, 9) - 1e-9)[:, None])
+    vals = np.round(work[rows, cols], 9)
+    fin = np.isfinite(vals)
+    rows, cols, vals = rows[fin], cols[fin], vals[fin]
     order = np.lexsort((ids_b[cols], -vals, rows))
     rows, cols = rows[order], cols[order]
     first = np.searchsorted(rows, rows, side="left")
