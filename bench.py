@@ -1,7 +1,7 @@
 """Benchmark: the 14-model run plus headline queries.
 
 Runs on local[$BENCH_CPUS] against $BENCH_SF_DIR (default sf0.1) and prints
-one JSON line. Model tables are written once to a scratch folder under the
+one JSON line. Model tables are written once to a fresh folder under the
 session's checkpoint dir and read back by their consumers (as a model run
 materialises them); the other queries are run through the ``noop`` sink,
 so every row is computed and nothing is collected to the driver.
@@ -13,14 +13,14 @@ import json
 import os
 import re
 import sys
-import tempfile
+import uuid
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from inkwell.plans.models import TABLE_MODELS, VIEW_MODELS, Models  # noqa: E402
 from inkwell.plans.catalog import REGISTRY  # noqa: E402
-from inkwell.session import local_session  # noqa: E402
+from inkwell.session import local_session, scratch_dir  # noqa: E402
 
 # Headline queries beyond the model run (present ones are timed).
 HEADLINE = [
@@ -39,7 +39,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="inkwell-bench")
-    store = tempfile.mkdtemp(prefix="inkwell-bench-", dir="/tmp")
+    # Stored models go under the session's checkpoint folder (shared on a
+    # cluster), one fresh folder per run.
+    store = scratch_dir(spark, f"bench-{uuid.uuid4().hex[:12]}")
 
     # Untimed warm-up on generated rows (JVM and codegen start-up only; it
     # reads none of the data).

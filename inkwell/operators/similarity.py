@@ -96,6 +96,17 @@ def _block_pairs(vectors: DataFrame, blocks: int, extra: Sequence[str] = ()) ->
     return left.unionByName(right).drop("blk")
 
 
+def _spread_pairs(pairs: DataFrame, blocks: int) -> DataFrame:
+    """One block pair per task: pairs are near-equal in size, so a range
+    partitioning on the dense pair index gives each its own partition
+    (hashing few keys into few partitions stacks several in one task),
+    and its explicit count keeps AQE from merging the compute-heavy
+    tasks. Grouping by the same index then needs no further exchange."""
+    n_pairs = blocks * (blocks + 1) // 2
+    g = (F.col("pi") * F.lit(blocks) + F.col("pj")).alias("g")
+    return pairs.select("*", g).repartitionByRange(n_pairs, "g")
+
+
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     pdf = pdf.sort_values("book_id", kind="stable")
     ids = pdf["book_id"].to_numpy(dtype=np.int64)
@@ -157,8 +168,8 @@ def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFA
     vectors = vectors.checkpoint()
     if blocks is None:
         blocks = n_blocks(vectors.count(), block_size)
-    pairs = _block_pairs(vectors, blocks)
-    cand = pairs.groupBy("pi", "pj").applyInPandas(
+    pairs = _spread_pairs(_block_pairs(vectors, blocks), blocks)
+    cand = pairs.groupBy("g").applyInPandas(
         _pair_topk(k), "book_id long, other_id long, similarity_score double")
     w = Window.partitionBy("book_id").orderBy(F.round("similarity_score", 9).desc(), "other_id")
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -212,8 +223,8 @@ def user_recommendations(vectors: DataFrame, interactions: DataFrame, users: lis
     vec = vectors.join(per_item, "book_id").checkpoint()
     if blocks is None:
         blocks = n_blocks(vec.count(), block_size)
-    pairs = _block_pairs(vec, blocks, extra=("ratings",))
-    sums = pairs.groupBy("pi", "pj").applyInPandas(
+    pairs = _spread_pairs(_block_pairs(vec, blocks, extra=("ratings",)), blocks)
+    sums = pairs.groupBy("g").applyInPandas(
         _pair_user_sums(len(users)), "book_id long, user_idx int, num double, den double")
     tot = sums.groupBy("book_id", "user_idx").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
     user_of = F.create_map(*[x for i, u in enumerate(users) for x in (F.lit(i), F.lit(u))])
