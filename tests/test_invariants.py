@@ -1,6 +1,7 @@
 """Invariants of the results no SQL oracle states (model training, ALS,
 hybrid), BM25 against a brute-force scorer, and the library pieces that
-are not registered queries (seeded generators, incremental upsert)."""
+are not registered queries (seeded generators, incremental upsert, the
+block top-k kernel, scan spreading)."""
 
 import math
 from collections import Counter
@@ -186,3 +187,33 @@ def test_upsert_replaces_by_key_and_rejects_schema_change(spark):
     assert {r.transaction_id: r.quantity for r in upsert(target, stale).collect()} == {"a": 1, "b": 2}
     with pytest.raises(SchemaChangeError):
         upsert(target, batch.withColumn("extra", F.lit(1)))
+
+
+# ---------------------------------------------------------------------------
+# Block top-k kernel and scan spreading
+# ---------------------------------------------------------------------------
+
+
+def test_block_topk_kernel_is_exact_under_ties():
+    import numpy as np
+    from inkwell.operators.similarity import _topk_rows
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(300, 6))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    sim = np.round(a @ a.T, 2)  # coarse values: many ties, broken by id
+    ids = np.arange(300, dtype=np.int64) * 3
+    got = _topk_rows(ids, ids, sim, 7)
+    for i in range(300):
+        want = sorted((-round(sim[i, j], 9), ids[j]) for j in range(300) if j != i)[:7]
+        assert list(got[got.book_id == ids[i]].other_id) == [j for _, j in want]
+
+
+def test_spread_only_when_splits_are_few(spark):
+    from inkwell.sources.catalog import spread
+    slots = spark.sparkContext.defaultParallelism
+    one = spark.range(0, 1000, 1, 1)
+    out = spread(one)
+    assert out.rdd.getNumPartitions() == slots
+    assert sorted(r.id for r in out.collect()) == list(range(1000))
+    many = spark.range(0, 1000, 1, slots)
+    assert spread(many) is many
