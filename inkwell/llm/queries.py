@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import mixing, oracles, quality_mil, sharding, simhash_dedup
+from inkwell.llm import bpe, mixing, oracles, quality_mil, sharding, simhash_dedup
 
 
 def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,6 +18,7 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": _on_documents(sharding.query),
     "op5_mix_sources": _on_documents(mixing.query),
+    "op7_bpe": _on_documents(bpe.query),
     "op8_simhash_dedup": _on_documents(simhash_dedup.query),
     "op10_quality_mil": lambda spark, sf_dir: quality_mil.query(
         spark.read.parquet(f"{sf_dir}/documents.parquet"),
