@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, mixing, oracles, quality_mil, sharding, simhash_dedup
+from inkwell.llm import bpe, mixing, oracles, quality_mil, sharding, simhash_dedup, suffix_dedup
 
 
 def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": _on_documents(sharding.query),
+    "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": _on_documents(mixing.query),
     "op7_bpe": _on_documents(bpe.query),
     "op8_simhash_dedup": _on_documents(simhash_dedup.query),
@@ -27,5 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_sharding": oracles.shard_sql(),
+    "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": oracles.MIX_SQL,
 }
