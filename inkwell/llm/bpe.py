@@ -502,6 +502,15 @@ def encoded(docs: DataFrame, encoder: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of every row; ``ids`` is binary,
+    little-endian unsigned 32-bit, as training jobs read it."""
+    vocabulary = vocabulary or default_vocabulary()
+    out = encoded(docs.select("doc_id", "text"), build_encoder(docs, vocabulary))
+    n = (F.octet_length("ids") / 4).cast("bigint")
+    return out.select("doc_id", n.alias("n_tokens"), "ids", "decoded")
+
+
 def token_digests(docs: DataFrame, vocabulary: str, max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
     out = encoded(docs.select("doc_id", "text"), build_encoder(docs, vocabulary, max_words))

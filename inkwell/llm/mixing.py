@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import WORD, join_counted, numbered, stored
+from inkwell.llm.common import WORD, join_counted, numbered, shielded, stored
 
 WEIGHTS = (5, 2, 1)
 
@@ -105,12 +105,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents the mix takes, each as often as it takes them, with the
     columns of ``docs``. Null text has size 0 and is never taken; whatever else
     the rows hold is kept as it is."""
-    columns = docs.columns
-    rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
-    sizes = rows.select("doc_id", "source", "_rid", word_count(F.col("text")).alias("size"))
-    taken = mix(sizes, **options).where("copies > 0").select("_rid", "copies")
-    out = rows.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    def work(docs: DataFrame) -> DataFrame:
+        rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
+        sizes = rows.select("doc_id", "source", "_rid", word_count(F.col("text")).alias("size"))
+        taken = mix(sizes, **options).where("copies > 0").select("_rid", "copies")
+        return rows.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+
+    return shielded(docs, ("doc_id", "source", "text"), work)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from inkwell.llm.common import shielded
+
 #: Words in a passage; the last one of a text may be shorter.
 PASSAGE_WORDS = 128
 #: Buckets of the hashed letter-pair histogram.
@@ -269,8 +271,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier fitted on ``labels`` accepts."""
-    return scored(docs, fit(docs, labels)).where(F.col("score") >= threshold).drop("score")
+    """The rows of ``docs`` that the classifier fitted on ``labels`` accepts,
+    unchanged."""
+    model = fit(docs, labels)
+    return shielded(docs, ("doc_id", "text"),
+                    lambda rows: scored(rows, model).where(F.col("score") >= threshold))
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import shuffle_partitions, stored
+from inkwell.llm.common import shielded, shuffle_partitions, stored
 from inkwell.llm.components import components
 
 SEED = 42
@@ -234,10 +234,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS)
     ``component_id`` is the least doc_id of the component; null doc_ids are
     grouped like others but never name a component unless all of it is null.
     Null and empty texts have fingerprint 0 and form one class. Extra columns
-    pass through; columns named ``fp``, ``label`` or ``component_id`` are
-    replaced. No rows: no output.
+    pass through; columns named ``fp``, ``label``, ``component`` or ``component_id`` are
+    replaced, and ``component``, the component's least fingerprint, is added.
+    No rows: no output.
     """
-    rows = docs.drop("fp", "label", "component_id")
+    rows = docs.drop("fp", "label", "component", "component_id")
     others = [F.col(f"`{c}`") for c in rows.columns if c != "text"]
     rows = stored(fingerprinted(rows.select(*others, F.col("text").cast("binary").alias("text")),
                                 size), "simhash-fps")
@@ -246,21 +247,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS)
     classes = classes.join(found, classes["fp"] == found["node"], "left").select(
         "fp", "least", F.coalesce("label", "fp").alias("label"))
     names = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = classes.join(names, "label").select("fp", "component_id")
+    classes = classes.join(names, "label").select(
+        "fp", F.col("label").alias("component"), "component_id")
     return rows.join(classes, "fp")
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
     """One document of each group, with the columns of ``docs``: the least
     doc_id (nulls last), among equal ones the first in the input."""
-    columns = docs.columns
-    rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "simhash-docs")
-    grouped = near_duplicates(rows.select("_rid", "doc_id", "text"), size, bits)
-    first = grouped.withColumn("_no", F.col("doc_id").isNull())
-    # Components without a doc_id share the null id; only empty ids can tie so.
-    kept = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(
-        F.min(F.struct("_no", "doc_id", "_rid"))["_rid"].alias("_rid"))
-    return rows.join(kept.select("_rid"), "_rid").select(*[F.col(f"`{c}`") for c in columns])
+    def work(docs: DataFrame) -> DataFrame:
+        rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "simhash-docs")
+        grouped = near_duplicates(rows.select("_rid", "doc_id", "text"), size, bits)
+        # A component without any doc_id is told apart by its label alone.
+        kept = grouped.groupBy("component").agg(F.min(F.struct(
+            F.col("doc_id").isNull(), "doc_id", "_rid"))["_rid"].alias("_rid"))
+        return rows.join(kept.select("_rid"), "_rid")
+
+    return shielded(docs, ("doc_id", "text"), work)
 
 
 def query(docs: DataFrame) -> DataFrame:

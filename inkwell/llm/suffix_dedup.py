@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from inkwell.llm.common import shielded
 from inkwell.session import ensure_checkpoint_dir
 
 MATCH = 100
@@ -537,11 +538,14 @@ def deduplicated(docs: DataFrame, whole_characters: bool = False,
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``, and ``n_chars``,
     if there is one, counted again. Null texts stay null."""
-    out = deduplicated(docs, whole_characters=True)
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length(new["text"]).cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+    def work(rows: DataFrame) -> DataFrame:
+        out = deduplicated(rows, whole_characters=True)
+        new = {"text": F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))}
+        if "n_chars" in rows.columns:
+            new["n_chars"] = F.length(new["text"]).cast(rows.schema["n_chars"].dataType)
+        return out.withColumns(new)
+
+    return shielded(docs, ("doc_id", "text", "n_chars"), work)
 
 
 def query(docs: DataFrame) -> DataFrame:
