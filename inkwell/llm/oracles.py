@@ -84,3 +84,67 @@ served AS (
 taken AS (SELECT rn, count(*) AS copies FROM served WHERE running <= budget GROUP BY rn)
 SELECT doc_id, size, source_size, target, coalesce(copies, 0) * size AS taken
 FROM q LEFT JOIN taken USING (rn)"""
+
+
+def _distance(counts: str, reference: str, n: int) -> str:
+    """Jensen-Shannon distance of two lists of length n."""
+    p, q = f"{counts}[i] / list_sum({counts})", f"{reference}[i] / list_sum({reference})"
+    part = lambda a, b: (
+        f"CASE WHEN {a} > 0 THEN {a} * log2({a} / (({a} + {b}) / 2)) ELSE 0 END")
+    term = f"({part(f'({p})', f'({q})')} + {part(f'({q})', f'({p})')}) / 2"
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda i: {term}))))"
+
+
+def rules_sql() -> str:
+    from inkwell.llm import quality_rules as r
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    word = r"'[^\x20\x09-\x0D]+'"
+    few = ", ".join(f"len(regexp_extract_all(t, {text(c)}))" for c in r.CLASSES)
+    common = ", ".join(f"len(list_filter(lw, lambda x: x = {text(w)}))" for w in r.COMMON_WORDS)
+    k, m = len(r.CLASSES) + 1, len(r.COMMON_WORDS) + 1
+    share = lambda a, n: ", ".join(
+        f"sum(floor({a}[{i}] * {r.SCALE} / list_sum({a})))" for i in range(1, n + 1))
+    both = lambda a, n: "[" + ", ".join(f"sum({a}[{i}])" for i in range(1, n + 1)) + "]"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), {word}) AS w FROM documents),
+win AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS i)),
+rep AS (
+  SELECT rid, count(DISTINCT i + j) AS n_repeat_words
+  FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS c FROM win), range(3) t(j)
+  WHERE c > 1 GROUP BY rid),
+f AS (
+  SELECT rid, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, [{few}] AS few, [{common}] AS com
+  FROM (SELECT *, list_transform(w, lambda x: lower(x)) AS lw,
+          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, {word})) AS lines FROM d)
+  LEFT JOIN rep USING (rid)),
+g AS (
+  SELECT *, list_concat([word_chars - list_sum(few)], few) AS classes,
+         list_concat(com, [n_words - list_sum(com)]) AS common,
+         n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.MAX_REPEATED} * n_words AS base_failed
+  FROM f),
+able AS (SELECT * FROM g WHERE NOT base_failed AND n_words >= {r.JUDGED_WORDS}),
+r1 AS (SELECT lang, count(*) AS n, [{share('classes', k)}] AS ref FROM able GROUP BY lang),
+a1 AS (SELECT {both('ref', k)} AS every FROM r1),
+far AS (
+  SELECT able.*, floor({_distance('classes', 'ref1', k)} * {r.SCALE}) AS far
+  FROM able JOIN (SELECT lang AS l, CASE WHEN n >= {r.MIN_REFERENCE} THEN ref ELSE every END AS ref1
+                  FROM r1, a1) ON lang IS NOT DISTINCT FROM l),
+near AS (SELECT * FROM (SELECT *, sum(far) OVER p AS fs, count(*) OVER p AS fn FROM far
+         WINDOW p AS (PARTITION BY lang)) WHERE far * fn <= fs),
+r2 AS (SELECT lang, count(*) AS n, [{share('classes', k)}] AS rc, [{share('common', m)}] AS rw
+       FROM near GROUP BY lang),
+a2 AS (SELECT {both('rc', k)} AS ec, {both('rw', m)} AS ew FROM r2),
+ref AS (SELECT lang AS l, CASE WHEN n >= {r.MIN_REFERENCE} THEN rc ELSE ec END AS refc,
+          CASE WHEN n >= {r.MIN_REFERENCE} THEN rw ELSE ew END AS refw FROM r2, a2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(n_words >= {r.JUDGED_WORDS} AND refc IS NOT NULL
+         AND {_distance('classes', 'refc', k)} > {r.MAX_CLASS_DISTANCE}
+         AND {_distance('common', 'refw', m)} > {r.MAX_WORD_DISTANCE}, false) AS kept
+FROM g LEFT JOIN ref ON lang IS NOT DISTINCT FROM l"""

@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkwell.llm import bpe, mixing, oracles, quality_mil, sharding, simhash_dedup, suffix_dedup
+from inkwell.llm import (
+    bpe,
+    mixing,
+    oracles,
+    quality_mil,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    suffix_dedup,
+)
 
 
 def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -16,6 +25,7 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": _on_documents(quality_rules.query),
     "op2_sharding": _on_documents(sharding.query),
     "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": _on_documents(mixing.query),
@@ -27,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality_rules": oracles.rules_sql(),
     "op2_sharding": oracles.shard_sql(),
     "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": oracles.MIX_SQL,
