@@ -148,3 +148,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          AND {_distance('classes', 'refc', k)} > {r.MAX_CLASS_DISTANCE}
          AND {_distance('common', 'refw', m)} > {r.MAX_WORD_DISTANCE}, false) AS kept
 FROM g LEFT JOIN ref ON lang IS NOT DISTINCT FROM l"""
+
+
+def fingerprint_sql() -> str:
+    from inkwell.llm.multiset_hash import LANES, PIECE
+    pieces = "'[^\\n.!?]{1," + str(PIECE) + "}[.!?]*|[.!?]+'"
+    # Lane order: digest words in pairs, then bit, then word of the pair.
+    bit = "(lane % 64) // 2"
+    digit = f"(8 * (2 * (lane // 64) + lane % 2) + 7 - {bit} // 4 + 1)"
+    vector = lambda t, id_: f"""
+      SELECT {id_} AS id, list(v ORDER BY lane) AS vec FROM (
+        SELECT {id_}, lane, sum(CASE WHEN md5 IS NULL THEN 0 ELSE
+          2 * ((strpos('0123456789abcdef', md5[{digit}]) - 1) >> ({bit} % 4) & 1) - 1 END)::BIGINT AS v
+        FROM (SELECT {id_}, md5(p) AS md5 FROM (
+          SELECT {id_}, unnest(CASE WHEN len(ps) = 0 THEN [NULL] ELSE ps END) AS p
+          FROM (SELECT {id_}, regexp_extract_all({t}, {pieces}) AS ps FROM e))), range({LANES}) r(lane)
+        GROUP BY {id_}, lane) GROUP BY {id_}"""
+    near = lambda a, b: f"""CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE,
+      least(1.0::DOUBLE, 2 * list_sum(list_transform(range(1, {LANES + 1}), lambda i: {a}[i] * {b}[i]))::DOUBLE
+      / (list_sum(list_transform({a}, lambda x: x * x)) + list_sum(list_transform({b}, lambda x: x * x))))) END"""
+    text = lambda a: (f"array_to_string(list_transform({a}, lambda x: "
+                      "lpad(lower(to_hex(((x % 65536) + 65536) % 65536)), 4, '0')), '')")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+             row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS rn,
+             count(*) OVER () AS n FROM documents),
+e AS (SELECT a.rn, a.doc_id, a.t, length(a.t) AS n_chars, b.rn AS nx,
+        left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS new
+      FROM d a JOIN d b ON b.rn = a.rn % a.n + 1),
+f AS ({vector('t', 'rn')}),
+g AS ({vector('new', 'rn')})
+SELECT doc_id, n_chars, sha256(new) AS edited_sha256, {text('f.vec')} AS fingerprint,
+       {text('g.vec')} AS edited_fingerprint, {near('f.vec', 'g.vec')} AS near_edited,
+       {near('f.vec', 'h.vec')} AS near_next
+FROM e JOIN f ON f.id = e.rn JOIN g ON g.id = e.rn JOIN f h ON h.id = e.nx"""

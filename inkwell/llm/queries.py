@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm import (
     bpe,
     mixing,
+    multiset_hash,
     oracles,
     quality_mil,
     quality_rules,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mix_sources": _on_documents(mixing.query),
     "op7_bpe": _on_documents(bpe.query),
     "op8_simhash_dedup": _on_documents(simhash_dedup.query),
+    "op9_multiset_hash": _on_documents(multiset_hash.query),
     "op10_quality_mil": lambda spark, sf_dir: quality_mil.query(
         spark.read.parquet(f"{sf_dir}/documents.parquet"),
         spark.read.parquet(f"{sf_dir}/labels.parquet")),
@@ -41,4 +43,5 @@ ORACLES: dict[str, str] = {
     "op2_sharding": oracles.shard_sql(),
     "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": oracles.MIX_SQL,
+    "op9_multiset_hash": oracles.fingerprint_sql(),
 }
