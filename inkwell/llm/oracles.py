@@ -182,3 +182,32 @@ SELECT doc_id, n_chars, sha256(new) AS edited_sha256, {text('f.vec')} AS fingerp
        {text('g.vec')} AS edited_fingerprint, {near('f.vec', 'g.vec')} AS near_edited,
        {near('f.vec', 'h.vec')} AS near_next
 FROM e JOIN f ON f.id = e.rn JOIN g ON g.id = e.rn JOIN f h ON h.id = e.nx"""
+
+
+def licence_sql() -> str:
+    from inkwell.llm import license_scan as m
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    spelt = "x"
+    for word, standard in m.SPELLINGS.items():
+        spelt = f"replace({spelt}, ' {word} ', ' {standard.replace(' ', '  ')} ')"
+    lines = lambda t: (
+        "list_filter(list_transform(list_transform(string_split(" + t + ", chr(10)), lambda x: "
+        f"CASE WHEN regexp_matches(lower(x), {text(m.COPYRIGHT)}) THEN '' ELSE "
+        r"' ' || regexp_replace(lower(x), '[^\p{L}\p{N}]+', '  ', 'g') || ' ' END), "
+        f"lambda x: trim(regexp_replace({spelt}, ' +', ' ', 'g'))), lambda x: x <> '')")
+    rows = [("text", k, v) for k, v in m.LICENCES.items()]
+    rows += [("notice", k, v) for k, ls in m.NOTICES.items() for v in ls]
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return f"""
+WITH known AS (
+  SELECT kind, sha256(array_to_string({lines('t')}, ' ')) AS digest, min(licence) AS licence
+  FROM (VALUES {values}) v(kind, licence, t) GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {lines("coalesce(text, '')")} AS ls FROM documents),
+n AS (
+  SELECT rid, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices
+  FROM (SELECT rid, unnest(ls) AS l FROM d) JOIN known ON kind = 'notice' AND digest = sha256(l)
+  GROUP BY rid)
+SELECT doc_id, sha256(array_to_string(ls, ' ')) AS text_sha256, licence,
+       coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
+FROM d LEFT JOIN n USING (rid)
+LEFT JOIN known ON kind = 'text' AND digest = sha256(array_to_string(ls, ' '))"""

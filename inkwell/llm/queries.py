@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import (
     bpe,
+    license_scan,
     mixing,
     multiset_hash,
     oracles,
@@ -28,6 +29,7 @@ def _on_documents(query: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": _on_documents(quality_rules.query),
     "op2_sharding": _on_documents(sharding.query),
+    "op3_license_scan": _on_documents(license_scan.query),
     "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": _on_documents(mixing.query),
     "op7_bpe": _on_documents(bpe.query),
@@ -41,7 +43,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.rules_sql(),
     "op2_sharding": oracles.shard_sql(),
+    "op3_license_scan": _on_documents(license_scan.query),
     "op4_suffix_dedup": _on_documents(suffix_dedup.query),
+    "op3_license_scan": oracles.licence_sql(),
     "op5_mix_sources": oracles.MIX_SQL,
     "op9_multiset_hash": oracles.fingerprint_sql(),
 }
