@@ -27,17 +27,16 @@ exchanges meet them there.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from inkwell.llm.chunks import chunked, flat, in_order
 from inkwell.llm.common import shielded
-from inkwell.session import ensure_checkpoint_dir
 
 MATCH = 100
 #: Bytes of an anchor's digest, and positions from which a window picks it.
@@ -46,10 +45,6 @@ SPAN = MATCH - GRAM + 1
 #: A suffix: digest, bytes from the anchor on, bytes before it, their counts.
 HEAD, RIGHT, LEFT = 4, MATCH, SPAN - 1
 WIDTH = HEAD + RIGHT + LEFT + 2
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 8 << 20
-#: Buckets of the stored table; more chunks than that share buckets.
-MAX_BUCKETS = 8192
 BLOCK = 1 << 18
 LAST = np.iinfo(np.int64).max
 
@@ -331,59 +326,10 @@ def cut_out(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 # ------------------------------------------------------------------------ Spark
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a binary column laid end to end, and the ends of its values."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
-    if not len(column):
-        return np.empty(0, np.uint8), np.empty(0, np.int64)
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    bounds = np.frombuffer(column.buffers()[1], kind)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    return data[bounds[0]:bounds[-1]], (bounds[1:] - bounds[0]).astype(np.int64)
-
-
-def _in_order(table: pa.Table) -> pa.Table:
-    return table.sort_by("_row") if len(table) else table
-
-
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with ``_row`` and ``_chunk``, stored in buckets of whole chunks
-    without a shuffle: each task deals its rows to its own chunks, and a
-    chunk's number is one that Spark hashes to the chunk's bucket."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    task = F.shiftrightunsigned("_row", 33)
-    tasks = (rows.agg(F.max(task)).first()[0] or 0) + 1
-    each = max(1, -(-size // (tasks * chunk_bytes)))
-    chunks = tasks * each
-    number = task % tasks * each + F.col("_row").bitwiseAND((1 << 33) - 1) % each
-    rows = rows.withColumn("_chunk", number.cast("int"))
-    buckets = min(chunks, MAX_BUCKETS)
-    if chunks == buckets:  # one chunk to a bucket; the table has a row for each
-        fit = _bucket_numbers(spark, buckets)
-        rows = rows.withColumnRenamed("_chunk", "_n").join(F.broadcast(fit), "_n", "left")
-        rows = rows.withColumn("_chunk", F.coalesce("_fit", F.lit(0))).drop("_n", "_fit")
-    name = f"suffix_chunks_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
-    rows.write.bucketBy(buckets, "_chunk").option("path", path).saveAsTable(name)
-    return spark.table(name), chunks
-
-
-def _bucket_numbers(spark: SparkSession, n: int) -> DataFrame:
-    """(_n, _fit): for each of ``n`` buckets a whole number that falls into it."""
-    tries = spark.range(n * (24 + 2 * n.bit_length())).select(F.col("id").cast("int").alias("k"))
-    return tries.groupBy(F.expr(f"pmod(hash(k), {n})").cast("int").alias("_n")).agg(
-        F.min("k").alias("_fit"))
-
-
 _RUN = StructType([StructField(n, LongType()) for n in ("_part", "_chunk")]
                   + [StructField(n, BinaryType()) for n in
                      ("shared", "rest", "doc_id", "row", "doc", "at", "o1", "o2", "marks")])
@@ -400,7 +346,7 @@ def marked(rows: DataFrame, chunks: int) -> DataFrame:
                         F.col("text").cast("binary").alias("text"))
 
     def told(table: pa.Table) -> pa.Table:
-        data, ends = _flat(_in_order(table)["text"])
+        data, ends = flat(in_order(table)["text"])
         part, digest = _placed(anchors(data, ends)["id"], parts)
         value, count = np.unique(part.astype(np.uint64) << np.uint64(32) | digest, return_counts=True)
         part = (value >> np.uint64(32)).astype(np.int64)
@@ -424,9 +370,9 @@ def marked(rows: DataFrame, chunks: int) -> DataFrame:
     def sorted_runs(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table) or not len(replies):
             return _RUN_ARROW.empty_table()
-        table = _in_order(table)
+        table = in_order(table)
         chunk = table["_chunk"][0].as_py()
-        data, ends = _flat(table["text"])
+        data, ends = flat(table["text"])
         found = anchors(data, ends)
         part, digest = _placed(found["id"], parts)
         kept = [np.uint64(p) << np.uint64(32) | np.frombuffer(b, "<u4").astype(np.uint64)
@@ -490,8 +436,7 @@ def marked(rows: DataFrame, chunks: int) -> DataFrame:
     return out.withColumn("_chunk", F.col("_chunk").cast("int"))
 
 
-def deduplicated(docs: DataFrame, whole_characters: bool = False,
-                 chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``kept`` (the bytes left of ``text``, as binary) and
     ``spans`` (the removed runs as little-endian 64-bit pairs start, end).
     With ``whole_characters`` a UTF-8 character that loses a byte goes whole.
@@ -501,15 +446,15 @@ def deduplicated(docs: DataFrame, whole_characters: bool = False,
     lose none. Extra columns pass through; ``kept`` and ``spans`` replace
     columns of that name. No rows: no output.
     """
-    rows, chunks = chunked(docs.drop("kept", "spans", "_row", "_chunk"), chunk_bytes)
+    rows, chunks = chunked(docs.drop("kept", "spans"))
     marks = marked(rows, chunks)
     names = [f for f in rows.schema if f.name not in ("_chunk", "_row")]
     schema = StructType([*names, StructField("kept", BinaryType()), StructField("spans", BinaryType())])
     source = rows.withColumn("_bytes", F.col("text").cast("binary"))
 
     def cut(table: pa.Table, found: pa.Table) -> pa.Table:
-        table = _in_order(table)
-        data, ends = _flat(table["_bytes"])
+        table = in_order(table)
+        data, ends = flat(table["_bytes"])
         starts = np.concatenate([[0], ends[:-1]])
         got = _joined(found["marks"], "<u4").astype(np.int64).reshape(-1, 3)
         got = got[np.argsort(got[:, 0], kind="stable")]

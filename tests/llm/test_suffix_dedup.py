@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from inkwell.llm import chunks
 from inkwell.llm import suffix_dedup as sd
 
 SF = "/root/testdata/sf0.001/documents.parquet"
@@ -41,7 +42,7 @@ def test_documents(spark):
 
 def test_planted_passages(spark, monkeypatch):
     """Passages of many lengths at many offsets, over several chunks."""
-    monkeypatch.setattr(sd, "CHUNK_BYTES", 1 << 13)
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 1 << 13)
     rng = random.Random(4)
     letters = "abcdefghijklmnop é\n"
     word = lambda n: "".join(rng.choice(letters) for _ in range(n))
