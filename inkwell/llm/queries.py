@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from inkwell.llm import (
     bpe,
     license_scan,
+    lm_score,
     mixing,
     multiset_hash,
     oracles,
@@ -32,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": _on_documents(license_scan.query),
     "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op5_mix_sources": _on_documents(mixing.query),
+    "op6_lm_score": lambda spark, sf_dir: lm_score.query(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"),
+        spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op7_bpe": _on_documents(bpe.query),
     "op8_simhash_dedup": _on_documents(simhash_dedup.query),
     "op9_multiset_hash": _on_documents(multiset_hash.query),
