@@ -432,6 +432,8 @@ def marked(rows: DataFrame, chunks: int) -> DataFrame:
     replied_ = replied_.withColumn("_chunk", F.col("_chunk").cast("int"))
     runs = (texts.groupBy("_chunk").cogroup(replied_.groupBy("_chunk"))
             .applyInArrow(sorted_runs, _RUN))
+    # As many tasks as ranges, so that a task's share does not grow with the input.
+    runs = runs.repartition(parts, "_part")
     out = runs.groupBy("_part").applyInArrow(merge, "_chunk bigint, marks binary")
     return out.withColumn("_chunk", F.col("_chunk").cast("int"))
 
