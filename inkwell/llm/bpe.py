@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
+from inkwell.llm.common import stored
+
 #: Size of the lexicon: the most frequent words that occur at least twice.
 MAX_WORDS = 100_000
 #: Words of more bytes stay out of the lexicon and of the batched merging.
@@ -449,16 +451,26 @@ def word_counts(docs: DataFrame, rules: dict) -> DataFrame:
 
 
 def build_encoder(docs: DataFrame, vocabulary: str, max_words: int = MAX_WORDS) -> str:
-    """Compile the lexicon of the ``max_words`` most frequent words of ``docs``
+    """Compile the lexicon of (at most) the ``max_words`` most frequent words of ``docs``
     and ship it with the vocabulary to the executors; returns the file's name.
 
     The lexicon decides speed only: ids are the same whatever it holds. At
     most ``max_words`` words reach the driver.
     """
     arrays = Vocabulary(vocabulary).arrays()
-    top = (word_counts(docs, json.loads(bytes(arrays["rules"]))).where(f"count > 1 AND octet_length(word) <= {LONG_WORD}")
-           .orderBy(F.col("count").desc(), "word").limit(max_words).select("word"))
-    raw = sorted(r[0].encode() for r in top.collect())
+    words = word_counts(docs, json.loads(bytes(arrays["rules"])))
+    words = stored(words.where(f"count > 1 AND octet_length(word) <= {LONG_WORD}"), "bpe-words")
+    # Counts in steps of an eighth of a power of two: a few hundred rows tell
+    # the least count at which no more than max_words are left.
+    level = F.floor(8 * F.log2("count")).cast("int")
+    least, left = 0, max_words
+    for row in words.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(
+            F.col("l").desc()).collect():
+        left -= row.n
+        if left < 0:
+            least = row.l + 1
+            break
+    raw = sorted(r[0].encode() for r in words.where(level >= least).select("word").collect())
     ids = Merger(arrays).merge(raw)
     arrays |= compile_lexicon([(w, tuple(np.frombuffer(x, "<u4").tolist()))
                                for w, x in zip(raw, ids)])
