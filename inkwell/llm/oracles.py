@@ -211,3 +211,30 @@ SELECT doc_id, sha256(array_to_string(ls, ' ')) AS text_sha256, licence,
        coalesce(n_notices, 0) AS n_notices, coalesce(notices, '') AS notices
 FROM d LEFT JOIN n USING (rid)
 LEFT JOIN known ON kind = 'text' AND digest = sha256(array_to_string(ls, ' '))"""
+
+
+#: Every window of 100 bytes as hex digits; all but the earliest are marked,
+#: joined to maximal runs and cut out.
+SUFFIX_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h,
+             octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+block AS (SELECT rid, doc_id, n, o, substr(h, 2 * o + 1, 1000 + 198) AS p
+          FROM d, LATERAL (SELECT unnest(range(0, n - 99, 500)) AS o)),
+w AS (SELECT rid, doc_id, o + j AS i, substr(p, 2 * j + 1, 200) AS s
+      FROM block, LATERAL (SELECT unnest(range(0, least(500, n - 99 - o))) AS j)),
+later AS (SELECT rid, i FROM (
+  SELECT rid, i, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS LAST, rid, i) AS k FROM w) WHERE k > 1),
+run AS (SELECT rid, min(i) AS a, max(i) + 100 AS b FROM (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS g FROM (
+    SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh
+    FROM later)) GROUP BY rid, g),
+edge AS (
+  SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS x, a AS y, b - a AS gone FROM run
+  UNION ALL
+  SELECT rid, coalesce(b, 0), n, 0 FROM d LEFT JOIN (SELECT rid, max(b) AS b FROM run GROUP BY rid) USING (rid)),
+cut AS (
+  SELECT rid, sum(gone)::BIGINT AS n_removed, count(*) - 1 AS n_spans,
+         string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x, y) AS kept
+  FROM edge JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN cut USING (rid)"""

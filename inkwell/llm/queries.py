@@ -47,9 +47,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality_rules": oracles.rules_sql(),
     "op2_sharding": oracles.shard_sql(),
-    "op3_license_scan": _on_documents(license_scan.query),
-    "op4_suffix_dedup": _on_documents(suffix_dedup.query),
     "op3_license_scan": oracles.licence_sql(),
+    "op4_suffix_dedup": oracles.SUFFIX_SQL,
     "op5_mix_sources": oracles.MIX_SQL,
     "op9_multiset_hash": oracles.fingerprint_sql(),
 }
