@@ -175,9 +175,11 @@ def similar_by_genre(popularity: DataFrame, n: int = 5) -> DataFrame:
 
 
 def genre_avg_demand(fact_sales: DataFrame, dim_books: DataFrame) -> DataFrame:
-    """Mean units per sale of each genre; 5 when that mean is NULL or 0."""
-    j = fact_sales.select("book_id", "quantity").join(dim_books.select("book_id", "genre"), "book_id")
-    avg = F.avg("quantity")
+    """Mean units per sale of each genre; 5 when that mean is NULL or 0. Sales
+    are summed per book before the catalogue joins."""
+    sold = fact_sales.groupBy("book_id").agg(F.sum("quantity").alias("q"), F.count("quantity").alias("n"))
+    j = sold.join(dim_books.select("book_id", "genre"), "book_id")
+    avg = F.try_divide(F.sum("q").cast("double"), F.sum("n"))
     return j.groupBy("genre").agg(
         F.coalesce(F.nullif(avg, F.lit(0.0)), F.lit(5.0)).alias("avg_demand"))
 

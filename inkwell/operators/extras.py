@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.columns import UNIT, as_of_lit, exact_avg, exact_sum
+from inkwell.operators.keys import dense_ids
 from inkwell.operators.recommend import _since, check_n
 from inkwell.operators.similarity import _with_one_row
 
@@ -108,41 +109,56 @@ def time_series_folds(daily: DataFrame, n_folds: int = 5) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-def als_recommendations(interactions: DataFrame, users: list[str], n: int = 10, rank: int = 50,
-                        seed: int = 42, max_iter: int = 10) -> DataFrame:
-    """Implicit-feedback ALS (rank 50) on (user, book, units); the n best
-    unowned items per user. Item ids must fit in INT (ALS ids)."""
-    check_n(n)
-    uid = F.create_map(*[x for i, u in enumerate(users) for x in (F.lit(u), F.lit(i))])
-    data = interactions.select(uid[F.col("user_id")].alias("u"), F.col("book_id").cast("int").alias("i"),
-                               F.col("rating").cast("float").alias("r"))
+# Users up to this count are broadcast when all items are scored for them.
+BROADCAST_USERS = 10_000
+
+
+def als_scores(interactions: DataFrame, rank: int = 50, seed: int = 42, max_iter: int = 10) -> DataFrame:
+    """(user_id, book_id, score) of every user and unowned item by
+    implicit-feedback ALS (rank 50) on (user, book, units). Users and items may
+    have ids of any size: the model sees dense numbers."""
+    users = dense_ids(interactions, "user_id", "u")
+    items = dense_ids(interactions, "book_id", "i")
+    data = (interactions.select("user_id", "book_id", F.col("rating").cast("float").alias("r"))
+            .join(users, "user_id").join(items, "book_id")
+            .select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), "r"))
     model = ALS(rank=rank, implicitPrefs=True, seed=seed, maxIter=max_iter, userCol="u", itemCol="i",
                 ratingCol="r", coldStartStrategy="drop").fit(data)
-    # Every item scored for every user (users are the customer types, a
-    # small fixed domain, so their factors are broadcast): exact top n of
-    # the unowned items, no candidate cap.
-    name = F.create_map(*[x for i, u in enumerate(users) for x in (F.lit(i), F.lit(u))])
-    uf = model.userFactors.select(name[F.col("id")].alias("user_id"), F.col("features").alias("fu"))
-    itf = model.itemFactors.select(F.col("id").cast("bigint").alias("book_id"), F.col("features").alias("fi"))
+    uf = model.userFactors.select(F.col("id").alias("u"), F.col("features").alias("fu")).join(users, "u")
+    itf = model.itemFactors.select(F.col("id").alias("i"), F.col("features").alias("fi")).join(items, "i")
+    # The result has a row for each user and item: users are counted, and few
+    # (the customer types) are sent to the items.
+    if users.limit(BROADCAST_USERS + 1).count() <= BROADCAST_USERS:
+        uf = F.broadcast(uf)
     dot = F.aggregate(F.zip_with("fu", "fi", lambda a, b: a.cast("double") * b.cast("double")),
                       F.lit(0.0), lambda acc, x: acc + x)
-    flat = _with_one_row(itf, uf).select("user_id", "book_id", dot.alias("score"))
-    unowned = flat.join(interactions.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
+    flat = itf.crossJoin(uf).select("user_id", "book_id", dot.alias("score"))
+    return flat.join(interactions.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
+
+
+def als_recommendations(interactions: DataFrame, n: int = 10, rank: int = 50, seed: int = 42,
+                        max_iter: int = 10) -> DataFrame:
+    """The n best unowned items of each user by ``als_scores``."""
+    check_n(n)
     w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "book_id")
-    return unowned.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    scores = als_scores(interactions, rank, seed, max_iter)
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def hybrid_recommendations(content: DataFrame, collaborative: DataFrame, n: int = 10,
                            content_weight: float = 0.6, collab_weight: float = 0.4) -> DataFrame:
-    """Weighted sum of min-max scaled content and collaborative scores
-    (a missing side counts 0)."""
+    """Weighted sum of min-max scaled content and collaborative scores, ranked
+    after the blend. Both sides hold every scored item of a user (no list cut
+    beforehand); an item that one side did not score counts 0 there."""
+    check_n(n)
+
     def scaled(df, name):
-        w = Window.partitionBy("user_id")
-        lo, hi = F.min("score").over(w), F.max("score").over(w)
-        return df.select("user_id", "book_id",
-                         F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(F.lit(1.0)).alias(name))
-    c, f = scaled(content, "c"), scaled(collaborative, "f")
-    j = c.join(f, ["user_id", "book_id"], "full")
+        span = df.groupBy("user_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+        lo, hi = F.col("lo"), F.col("hi")
+        return df.join(span, "user_id").select(
+            "user_id", "book_id",
+            F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(F.lit(1.0)).alias(name))
+    j = scaled(content, "c").join(scaled(collaborative, "f"), ["user_id", "book_id"], "full")
     s = j.select("user_id", "book_id", (F.lit(content_weight) * F.coalesce("c", F.lit(0.0))
                                        + F.lit(collab_weight) * F.coalesce("f", F.lit(0.0))).alias("score"))
     w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "book_id")

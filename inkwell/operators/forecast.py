@@ -115,10 +115,24 @@ def check_days(days: int) -> int:
     return days
 
 
-def demand_forecast(model: PipelineModel, frame: DataFrame, days: int = 7) -> DataFrame:
-    """Forecast per book from its latest feature row; the same value for
-    every day (features are not rolled forward, as in the source), floored
-    at 0."""
+def save_forest(model: PipelineModel, path: str) -> None:
+    """Write a fitted model to a shared folder, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
+def load_forest(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def demand_forecast(model: PipelineModel, frame: DataFrame, dim_books: DataFrame, daily: DataFrame,
+                    days: int = 7) -> DataFrame:
+    """Forecast for every book and day. Books with sales: from the latest
+    feature row, the same value for every day (features are not rolled
+    forward, as in the source), floored at 0; books without: the default."""
+    return _warm_forecast(model, frame, days).unionByName(demand_forecast_default(dim_books, daily, days))
+
+
+def _warm_forecast(model: PipelineModel, frame: DataFrame, days: int) -> DataFrame:
     check_days(days)
     last = recent_rows(frame, 1)
     pred = score(model, last).select("book_id", F.greatest(F.col("prediction"), F.lit(0.0)).alias("p"))

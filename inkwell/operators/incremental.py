@@ -1,25 +1,34 @@
-"""Incremental fact load: keep batch rows newer than the target's
-high-water mark, replace rows with the same key, insert the rest.
-
-Parquet has no MERGE, so the upsert is ``left_anti`` + ``unionByName``.
-At scale only the partitions the batch touches are rewritten: the target
-is partitioned by (sale_year, sale_month), the batch's partition values
-restrict the anti-join (dynamic partition pruning on the scan) and the
-write uses dynamic partition overwrite. This relies on the key fixing the
-partition (transaction_id embeds the sale date), so a key never moves.
+"""Incremental fact load: keep batch rows loaded after the target's last
+load, replace rows with the same key, insert the rest.
+
+The mark is the load stamp (when a row was loaded), not an event date: a
+sale that arrives late, with an old date, is new. Parquet has no MERGE, so
+the upsert is ``left_anti`` + ``unionByName``. A partitioned table is
+rewritten only where a batch touches it: the batch is written once, its
+partition values (counted, few) become a partition filter of the target's
+scan, and the writer overwrites these partitions only. This relies on the
+key fixing the partition (transaction_id embeds the sale date), so a key
+never moves.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.sources.schemas import assert_schema
 
 PARTITION_COLUMNS = ("sale_year", "sale_month")
+LOAD_STAMP = "dbt_updated_at"
+# Touched partitions beyond this count are found by a join, not a filter.
+MAX_FILTERED = 2_000
 
 
-def new_rows(target: DataFrame, batch: DataFrame, mark: str = "created_at") -> DataFrame:
+def new_rows(target: DataFrame, batch: DataFrame, mark: str = LOAD_STAMP) -> DataFrame:
     """Batch rows with mark > MAX(target.mark); an empty target (NULL mark)
     takes the whole batch (the source model would take nothing)."""
     hwm = target.select(F.max(mark)).scalar()
@@ -31,7 +40,7 @@ def _keys(key: str | list[str]) -> list[str]:
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str | list[str] = "transaction_id",
-           mark: str | None = "created_at") -> DataFrame:
+           mark: str | None = LOAD_STAMP) -> DataFrame:
     """Whole merged table: target rows whose key is not in the batch,
     plus the (newer) batch rows. Schema change fails before any work."""
     assert_schema(batch, target.schema, "incremental batch")
@@ -40,50 +49,50 @@ def upsert(target: DataFrame, batch: DataFrame, key: str | list[str] = "transact
     return keep.unionByName(fresh)
 
 
-def upsert_partitions(target: DataFrame, batch: DataFrame, key: str | list[str] = "transaction_id",
-                      mark: str | None = "created_at",
-                      partition_cols: tuple[str, ...] = PARTITION_COLUMNS) -> DataFrame:
-    """Only the rewritten partitions: target rows of the partitions the
-    batch touches (semi join on partition values), merged with the batch."""
-    assert_schema(batch, target.schema, "incremental batch")
-    fresh = new_rows(target, batch, mark) if mark else batch
-    touched = fresh.select(*partition_cols).distinct()
-    scope = target.join(touched, list(partition_cols), "left_semi")
-    keep = scope.join(fresh.select(*_keys(key)), _keys(key), "left_anti")
-    return keep.unionByName(fresh)
+def touched_partitions(target: DataFrame, batch: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Target rows in the partitions that ``batch`` has rows for. Up to
+    ``MAX_FILTERED`` partitions become a filter that prunes the scan."""
+    values = batch.select(*columns).distinct()
+    found = values.limit(MAX_FILTERED + 1).collect()
+    if len(found) > MAX_FILTERED:
+        return target.join(values, list(columns), "left_semi")
+    one = lambda row: reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(row[c])) for c in columns])
+    return target.where(reduce(lambda a, b: a | b, map(one, found), F.lit(False)))
 
 
 def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
-                 key: str | list[str] = "transaction_id", mark: str | None = "created_at",
+                 key: str | list[str] = "transaction_id", mark: str | None = LOAD_STAMP,
                  partition_cols: tuple[str, ...] = PARTITION_COLUMNS) -> DataFrame:
     """Apply a batch to a partitioned Parquet table in place, rewriting only
-    the touched partitions (dynamic overwrite). The merged partitions are
-    first written to a staging folder beside the table, because a Parquet
-    table cannot be read and overwritten by the same job."""
-    if batch.isEmpty():  # e.g. a no-data micro-batch
-        return spark.read.parquet(target_path) if _exists(spark, target_path) else batch
-    if not _exists(spark, target_path):  # first batch creates the table
+    the touched partitions. The batch is written once, beside the table, and
+    read from there; so are the merged partitions, because a Parquet table
+    cannot be read and overwritten by the same job."""
+    target = read_table(spark, target_path)
+    if target is None:  # first batch creates the table
         batch.write.mode("overwrite").partitionBy(*partition_cols).parquet(target_path)
-        return spark.read.parquet(target_path)
-    target = spark.read.parquet(target_path)
-    batch = batch.select(*target.columns)
-    merged = upsert_partitions(target, batch, key, mark, partition_cols)
-    staging = target_path.rstrip("/") + "__staging"
-    merged.write.mode("overwrite").partitionBy(*partition_cols).parquet(staging)
-    staged = spark.read.schema(target.schema).parquet(staging).select(*target.columns)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        return spark.read.schema(batch.schema).parquet(target_path)
+    if set(batch.columns) == set(target.columns):  # a table lists its partition columns last
+        batch = batch.select(*target.columns)
+    assert_schema(batch, target.schema, "incremental batch")
+    aside = f"{target_path.rstrip('/')}__staging/{uuid.uuid4().hex}"
+    fresh = new_rows(target, batch, mark) if mark else batch
+    fresh.write.parquet(f"{aside}/batch")
+    fresh = spark.read.schema(batch.schema).parquet(f"{aside}/batch").select(*target.columns)
+    scope = touched_partitions(target, fresh, partition_cols)
+    merged = scope.join(fresh.select(*_keys(key)), _keys(key), "left_anti").unionByName(fresh)
+    merged.write.partitionBy(*partition_cols).parquet(f"{aside}/merged")
+    staged = spark.read.schema(target.schema).parquet(f"{aside}/merged").select(*target.columns)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(target_path))
+    return spark.read.schema(target.schema).parquet(target_path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if there is none."""
     try:
-        staged.write.mode("overwrite").partitionBy(*partition_cols).parquet(target_path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    return spark.read.parquet(target_path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a (Hadoop-compatible) path exists, asked through the JVM's
-    file system API so it works for any shared store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -26,7 +26,9 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     if exact:
         mae = F.sum(F.abs(e)).cast("double") / n
         mse = sse.cast("double") / n
-        sst = (n * F.sum(y * y) - F.sum(y) * F.sum(y)).cast("double") / n
+        # Products of sums pass 2^63 at a few million rows: 38 digits hold them.
+        total = lambda x: F.sum(x.cast("decimal(19,0)"))
+        sst = (n.cast("decimal(19,0)") * total(y * y) - total(y) * total(y)).cast("double") / n
         mape = exact_avg(ape.cast("double"), RATIO) * 100
     else:
         mae = F.avg(F.abs(e))

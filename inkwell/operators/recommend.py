@@ -48,7 +48,8 @@ def user_item_interactions(fact_sales: DataFrame, as_of: _dt.date | str | None =
 
 def user_item_matrix(interactions: DataFrame, users: list[str] | None = None) -> DataFrame:
     """Display pivot: one row per book, one 0-filled rating column per user.
-    Pass ``users`` (a fixed domain) to avoid the distinct-values job."""
+    Users come from the data (Spark refuses more than its pivot limit rather
+    than dropping any); ``users`` names a known domain instead."""
     p = interactions.groupBy("book_id").pivot("user_id", users).agg(F.sum("rating"))
     return p.na.fill(0)
 
@@ -64,10 +65,11 @@ def interaction_matrix_stats(interactions: DataFrame) -> DataFrame:
 
 def recommender_item_features(dim_books: DataFrame, book_features: DataFrame,
                               fact_sales: DataFrame) -> DataFrame:
-    """Features of books that ever sold (left semi join on fact_sales)."""
+    """Features of books that ever sold. The sales are reduced to distinct
+    books first, so a best-seller is one row of the semi join."""
     bf = book_features.select("book_id", "total_quantity_sold", "velocity_score",
                               "avg_selling_price").alias("bf")
-    b = dim_books.join(fact_sales.select("book_id"), "book_id", "left_semi").alias("b")
+    b = dim_books.join(fact_sales.select("book_id").distinct(), "book_id", "left_semi").alias("b")
     return b.join(bf, F.col("b.book_id") == F.col("bf.book_id"), "left").select(
         "b.book_id", "b.genre", "b.price_category", "b.length_category", "b.recency_category",
         "b.publisher_type", "b.price", "b.page_count", "b.publication_year",
@@ -80,7 +82,7 @@ def recommender_item_features_fallback(dim_books: DataFrame, dim_publishers: Dat
                                        fact_sales: DataFrame) -> DataFrame:
     """Feature set used when book_features is missing."""
     p = dim_publishers.select("publisher_id", "publisher_type").alias("p")
-    b = dim_books.join(fact_sales.select("book_id"), "book_id", "left_semi").alias("b")
+    b = dim_books.join(fact_sales.select("book_id").distinct(), "book_id", "left_semi").alias("b")
     return b.join(p, F.col("b.publisher_id") == F.col("p.publisher_id"), "left").select(
         "b.book_id", "b.genre", "b.price_category", "b.price", "b.page_count",
         "b.publication_year", "p.publisher_type")

@@ -208,13 +208,12 @@ def _pair_user_sums(n_users: int):
     return run
 
 
-def user_recommendations(vectors: DataFrame, interactions: DataFrame, users: list[str],
-                         n: int = 10, block_size: int = DEFAULT_BLOCK,
-                         blocks: int | None = None) -> DataFrame:
-    """(user_id, book_id, score, rank): the n best items a user does not
-    own, by similarity-weighted rating; items with no similar owned item
-    (all weights 0) get no score, as in the source. ``users`` is the user
-    domain (customer types), so ratings travel as a dense array per item."""
+def user_scores(vectors: DataFrame, interactions: DataFrame, users: list[str],
+                block_size: int = DEFAULT_BLOCK, blocks: int | None = None) -> DataFrame:
+    """(user_id, book_id, score) of every item a user does not own, by
+    similarity-weighted rating; items with no similar owned item (all
+    weights 0) get no score, as in the source. ``users`` is the user domain
+    (customer types), so ratings travel as a dense array per item."""
     per_item = interactions.groupBy("book_id").agg(
         *[F.coalesce(F.sum(F.when(F.col("user_id") == u, F.col("rating").cast("double"))), F.lit(0.0))
           .alias(f"r{i}") for i, u in enumerate(users)])
@@ -231,6 +230,13 @@ def user_recommendations(vectors: DataFrame, interactions: DataFrame, users: lis
     tot = tot.select("book_id", user_of[F.col("user_idx")].alias("user_id"), "num", "den")
     owned = interactions.select("user_id", "book_id")
     cand = tot.join(owned, ["user_id", "book_id"], "left_anti").where(F.col("den") > 0)
-    scored = cand.select("user_id", "book_id", (F.col("num") / F.col("den")).alias("score"))
+    return cand.select("user_id", "book_id", (F.col("num") / F.col("den")).alias("score"))
+
+
+def user_recommendations(vectors: DataFrame, interactions: DataFrame, users: list[str],
+                         n: int = 10, block_size: int = DEFAULT_BLOCK,
+                         blocks: int | None = None) -> DataFrame:
+    """(user_id, book_id, score, rank): the n best of ``user_scores``."""
+    scored = user_scores(vectors, interactions, users, block_size, blocks)
     w = Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), "book_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

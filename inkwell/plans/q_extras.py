@@ -130,14 +130,17 @@ FROM pu""", "fact_sales", "dim_books"))(_ranking)
 
 
 def _als(m):
+    return X.als_recommendations(QR.interactions(m), n=10)
+
+
+def _hybrid(m):
     inter = QR.interactions(m)
-    return X.als_recommendations(inter, QR.users_of(inter), n=10)
+    content = S.user_scores(QR.vectors(m), inter, QR.users_of(inter))
+    return X.hybrid_recommendations(content, X.als_scores(inter), n=10)
 
 
 register("als_recommendations", None)(_als)
-register("hybrid_recommendations", None)(lambda m: X.hybrid_recommendations(
-    S.user_recommendations(QR.vectors(m), QR.interactions(m), QR.users_of(QR.interactions(m)), n=10),
-    _als(m), n=10))
+register("hybrid_recommendations", None)(_hybrid)
 
 register("embedding_topk", build("""
 WITH u AS (

@@ -3,30 +3,32 @@ checked by rows and invariants (tests); everything else has an oracle."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import forecast as FC
 from inkwell.operators import metrics as MT
 from inkwell.plans.oracle import build, cte
 from inkwell.plans.registry import register
-
-_MODELS: dict[tuple, tuple] = {}
-
+from inkwell.session import scratch_dir
 
 def training_frame(m):
     return FC.demand_training_frame(m.daily_demand, m.stg_books)
 
 
 def trained(m):
-    """Fit once per (session, data folder): the frame is written to the
-    checkpoint folder first, so fitting and scoring read it, not its
-    lineage."""
-    key = (id(m.spark), m.sf_dir)
-    if key not in _MODELS:
-        frame = FC.split_flag(FC.complete_rows(training_frame(m))).checkpoint()
-        train, test = frame.where(~F.col("is_test")), frame.where(F.col("is_test"))
-        _MODELS[key] = (FC.fit_forest(train), frame, train, test)
-    return _MODELS[key]
+    """(model, frame, train, test). The frame is checkpointed before fitting;
+    the fitted model is saved to the shared folder and loaded from there. Both
+    belong to ``m``: another run, folder or date fits its own."""
+    if not hasattr(m, "forest"):
+        frame = FC.split_flag(training_frame(m)).checkpoint()
+        whole = FC.complete_rows(frame)
+        train, test = whole.where(~F.col("is_test")), whole.where(F.col("is_test"))
+        path = scratch_dir(m.spark, f"forest-{uuid.uuid4().hex}")
+        FC.save_forest(FC.fit_forest(train), path)
+        m.forest = (FC.load_forest(path), frame, train, test)
+    return m.forest
 
 
 cte("demand_frame_base", """
@@ -80,8 +82,9 @@ WHERE b.book_id NOT IN (SELECT book_id FROM daily_demand)""", "dim_books", "dail
 
 # Forest (rows-only checks).
 register("demand_rf_metrics", None)(lambda m: FC.forest_metrics(trained(m)[0], trained(m)[2], trained(m)[3]))
-register("demand_rf_scores", None)(lambda m: FC.score(trained(m)[0], trained(m)[1]))
-register("demand_forecast", None)(lambda m: FC.demand_forecast(trained(m)[0], training_frame(m), 7))
+register("demand_rf_scores", None)(lambda m: FC.score(trained(m)[0], FC.complete_rows(trained(m)[1])))
+register("demand_forecast", None)(
+    lambda m: FC.demand_forecast(trained(m)[0], trained(m)[1], m.dim_books, m.daily_demand, 7))
 register("feature_importance", None)(
     lambda m: m.spark.createDataFrame(FC.feature_importance(trained(m)[0]), "feature string, importance double"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.functions.columns import safe_division
 from inkwell.operators import incremental, quality
 from inkwell.plans.oracle import build, cte
 from inkwell.plans.registry import register
+from inkwell.session import scratch_dir
 from inkwell.sources import catalog
 
 # Declared column tests of the models (fixed list from the model YAML).
@@ -151,38 +154,35 @@ register("dq_report", build("\nUNION ALL\n".join(_report_sql(t) for t in RAW_TAB
 # -- incremental fact load ----------------------------------------------------
 FIRST_LOAD_END = "2001-07-01"
 CHANGED_DAY = "2001-06-30"
-RELOAD_TS = "2001-08-01 00:00:00"
+LATE_DAY = "2001-01-15"
+FIRST_LOAD = "2001-07-01 00:00:00"
+SECOND_LOAD = "2001-08-01 00:00:00"
 
 
 def _incremental(m):
+    """Two loads of the fact table: the first takes the sales before
+    FIRST_LOAD_END except those of LATE_DAY; the second brings the rest, the
+    late ones included, and CHANGED_DAY again with other quantities."""
+    day = lambda d: F.col("sale_date") == F.lit(d).cast("date")
+    stamp = lambda ts: F.lit(ts).cast("timestamp_ntz").alias(incremental.LOAD_STAMP)
     f = m.fact_sales
-    target = f.where(F.col("sale_date") < F.lit(FIRST_LOAD_END).cast("date"))
-    new = f.where(F.col("sale_date") >= F.lit(FIRST_LOAD_END).cast("date"))
-    changed = (f.where(F.col("sale_date") == F.lit(CHANGED_DAY).cast("date"))
-               .withColumn("quantity", F.col("quantity") + 1)
-               .withColumn("created_at", F.lit(RELOAD_TS).cast("timestamp_ntz")))
-    return incremental.upsert(target, new.unionByName(changed))
-
-
-_cols = ("transaction_id, book_id, sale_date, quantity, unit_price, discount_percent, total_amount, "
-         "channel, customer_type, region, sale_year, sale_month, day_of_week, publisher_id, genre, "
-         "format, price_category, length_category")
-
-cte("target", f"SELECT * FROM fact_sales WHERE sale_date < DATE '{FIRST_LOAD_END}'", "fact_sales")
-cte("fresh", f"""
-SELECT * FROM (
-  SELECT * FROM fact_sales WHERE sale_date >= DATE '{FIRST_LOAD_END}'
-  UNION ALL
-  SELECT transaction_id, book_id, sale_date, quantity + 1 AS quantity, unit_price, discount_percent,
-    total_amount, channel, customer_type, region, sale_year, sale_month, day_of_week, publisher_id,
-    genre, format, price_category, length_category, TIMESTAMP '{RELOAD_TS}' AS created_at
-  FROM fact_sales WHERE sale_date = DATE '{CHANGED_DAY}'
-) b WHERE (SELECT MAX(created_at) FROM target) IS NULL OR created_at > (SELECT MAX(created_at) FROM target)""",
-    "fact_sales", "target")
+    early = (F.col("sale_date") < F.lit(FIRST_LOAD_END).cast("date")) & ~day(LATE_DAY)
+    path = scratch_dir(m.spark, f"fact-incremental-{uuid.uuid4().hex}")
+    incremental.write_upsert(m.spark, path, f.where(early).select("*", stamp(FIRST_LOAD)))
+    batch = f.where(~early | day(CHANGED_DAY)).withColumn(
+        "quantity", F.when(day(CHANGED_DAY), F.col("quantity") + 1).otherwise(F.col("quantity")))
+    return incremental.write_upsert(m.spark, path, batch.select("*", stamp(SECOND_LOAD)))
+
+
+_plain = ("transaction_id, book_id, sale_date, unit_price, discount_percent, total_amount, channel, "
+          "customer_type, region, sale_year, sale_month, day_of_week, publisher_id, genre, format, "
+          "price_category, length_category, created_at")
+# Both loads in one statement: a sale stands as its last load left it.
 register("fact_sales_incremental", build(f"""
-SELECT {_cols}, created_at FROM (
-  SELECT * FROM target t WHERE NOT EXISTS (SELECT 1 FROM fresh b WHERE b.transaction_id = t.transaction_id)
-  UNION ALL SELECT * FROM fresh) u""", "target", "fresh"))(_incremental)
+SELECT {_plain}, quantity + CASE WHEN sale_date = DATE '{CHANGED_DAY}' THEN 1 ELSE 0 END AS quantity,
+  CASE WHEN sale_date < DATE '{FIRST_LOAD_END}' AND sale_date NOT IN (DATE '{LATE_DAY}', DATE '{CHANGED_DAY}')
+       THEN TIMESTAMP '{FIRST_LOAD}' ELSE TIMESTAMP '{SECOND_LOAD}' END AS dbt_updated_at
+FROM fact_sales""", "fact_sales"))(_incremental)
 
 # -- table access ---------------------------------------------------------------
 register("scan_table", "SELECT * FROM part")(

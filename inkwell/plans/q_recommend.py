@@ -10,7 +10,7 @@ from inkwell.operators import similarity as S
 from inkwell.plans.oracle import AS_OF, build, cte
 from inkwell.plans.registry import register
 
-# The user domain is the customer segment (five fixed TPC-H segments).
+# The customer segments of the test data, for the oracle; the query takes its users from the data.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
@@ -48,7 +48,7 @@ register("user_item_matrix", build(
     "SELECT book_id, " + ", ".join(
         f"CAST(COALESCE(SUM(rating) FILTER (WHERE user_id = '{u}'), 0) AS BIGINT) AS {u}" for u in SEGMENTS)
     + " FROM user_item_interactions GROUP BY book_id", "user_item_interactions"))(
-    lambda m: R.user_item_matrix(interactions(m), SEGMENTS))
+    lambda m: R.user_item_matrix(interactions(m)))
 
 register("interaction_matrix_stats", build("""
 SELECT COUNT(DISTINCT user_id) AS num_users, COUNT(DISTINCT book_id) AS num_items,

@@ -8,6 +8,7 @@ overrides a checkpoint folder the cluster already names.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,15 +33,30 @@ JOB_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the jobs expect to an existing session."""
+    """Apply the runtime settings the jobs expect to an existing session and
+    send the package to its Python workers. A setting that the platform locks
+    must already have the value; anything else is an error."""
     for key, value in JOB_CONF.items():
-        try:
+        if spark.conf.isModifiable(key):
             spark.conf.set(key, value)
-        except Exception:  # static or locked conf on a managed cluster
-            pass
+        elif spark.conf.get(key, None) != value:
+            raise ValueError(f"{key} is locked and not {value}")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per Spark application, so that
+    Python workers can import it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_inkwell_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="inkwell-package-")  # the driver's own; Spark hands the file out
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "inkwell"), "zip", root, "inkwell"))
+    context._inkwell_shipped = True
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "inkwell") -> SparkSession:
     """Local session for tests and the bench (UI off, no extra ports)."""
@@ -49,7 +65,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("INKWELL_DRIVER_MEM", "16g"))
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.driver.memory", os.environ.get("INKWELL_DRIVER_MEM", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in JOB_CONF.items():
@@ -61,12 +78,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a scratch one only if
-    the session names none (tests, local runs)."""
+    """The shared checkpoint folder that the session names. Only a local
+    session without one gets a scratch folder; on a cluster that is an error,
+    because executors would not share it."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="inkwell-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -57,13 +57,3 @@ def export_csv(df: DataFrame, path: str) -> None:
     per task; nothing passes through the driver)."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster before heavy per-row work (tokenising
-    whole texts) when it yields fewer splits than there are task slots, as
-    a single unsplittable file does. A scan of many splits is returned
-    as it is, so at scale this adds no shuffle."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots)

@@ -1,7 +1,7 @@
 """Invariants of the results no SQL oracle states (model training, ALS,
 hybrid), BM25 against a brute-force scorer, and the library pieces that
 are not registered queries (seeded generators, incremental upsert, the
-block top-k kernel, scan spreading)."""
+block top-k kernel)."""
 
 import math
 from collections import Counter
@@ -173,24 +173,153 @@ def test_generators_are_seeded_and_sized(spark):
 # ---------------------------------------------------------------------------
 
 
+def _facts(spark, rows):
+    import datetime as dt
+    schema = "transaction_id string, quantity int, sale_year int, sale_month int, dbt_updated_at timestamp_ntz"
+    return spark.createDataFrame([(t, q, y, m, dt.datetime(*load)) for t, q, y, m, load in rows], schema)
+
+
 def test_upsert_replaces_by_key_and_rejects_schema_change(spark):
     from inkwell.operators.incremental import upsert
     from inkwell.sources.schemas import SchemaChangeError
-    schema = "transaction_id string, quantity int, created_at timestamp_ntz"
-    import datetime as dt
-    t0, t1 = dt.datetime(2001, 1, 1), dt.datetime(2001, 2, 1)
-    target = spark.createDataFrame([("a", 1, t0), ("b", 2, t0)], schema)
-    batch = spark.createDataFrame([("b", 5, t1), ("c", 3, t1)], schema)
+    t0, t1 = (2001, 1, 1), (2001, 2, 1)
+    target = _facts(spark, [("a", 1, 2000, 1, t0), ("b", 2, 2000, 2, t0)])
+    # "late" was sold before the target's rows and is loaded after them.
+    batch = _facts(spark, [("b", 5, 2000, 2, t1), ("c", 3, 2000, 3, t1), ("late", 4, 1999, 1, t1)])
     merged = {r.transaction_id: r.quantity for r in upsert(target, batch).collect()}
-    assert merged == {"a": 1, "b": 5, "c": 3}
-    stale = spark.createDataFrame([("a", 9, t0)], schema)  # not newer than the mark
+    assert merged == {"a": 1, "b": 5, "c": 3, "late": 4}
+    stale = _facts(spark, [("a", 9, 2000, 1, t0)])  # not loaded after the mark
     assert {r.transaction_id: r.quantity for r in upsert(target, stale).collect()} == {"a": 1, "b": 2}
     with pytest.raises(SchemaChangeError):
         upsert(target, batch.withColumn("extra", F.lit(1)))
 
 
+def test_partitioned_upsert_prunes_and_rewrites_only_touched_months(spark, tmp_path):
+    from inkwell.operators import incremental as inc
+    path = str(tmp_path / "facts")
+    t0, t1 = (2001, 1, 1), (2001, 2, 1)
+    inc.write_upsert(spark, path, _facts(spark, [(f"{m}-{i}", i, 2000, m, t0) for m in range(1, 7) for i in range(3)]))
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "facts").rglob("*.parquet")}
+    batch = _facts(spark, [("2-1", 9, 2000, 2, t1), ("5-x", 7, 2000, 5, t1)])
+    out = inc.write_upsert(spark, path, batch)
+    rows = {r.transaction_id: r.quantity for r in out.collect()}
+    assert len(rows) == 19 and rows["2-1"] == 9 and rows["5-x"] == 7 and rows["2-0"] == 0
+    kept = {p for p, t in files.items() if p.exists() and p.stat().st_mtime_ns == t}
+    assert {p.parent.name for p in kept} == {f"sale_month={m}" for m in (1, 3, 4, 6)}
+    plan = inc.touched_partitions(out, batch, inc.PARTITION_COLUMNS)._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.split("PartitionFilters: ")[1:])
+    assert "2000" in scan.split("PushedFilters")[0]
+    assert inc.read_table(spark, str(tmp_path / "nothing")) is None
+    assert inc.write_upsert(spark, path, batch.limit(0)).count() == 19
+
+
+def test_streams_in_several_micro_batches(spark, tmp_path):
+    """Arrivals taken one file at a time give the table of one batch."""
+    import datetime as dt
+    from inkwell.streaming import loaders as L
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 8, i % 24), i % 3, ("view", "click")[i % 2], 0.0, "") for i in range(64)]
+    rows.append((99, None, 1, "view", 0.0, ""))
+    events = spark.createDataFrame(rows, L.EVENT_SCHEMA)
+    landing = L.land_in_time_order(events.coalesce(1), "ts", str(tmp_path / "in"))
+    assert spark.read.parquet(landing).count() == 65  # a row without a time lands, too
+    out = L.campaign_window_stream(spark, landing, str(tmp_path / "out"), str(tmp_path / "ck"), files_per_batch=1)
+    want = {}
+    for _, ts, user, kind, _, _ in rows[:-1]:
+        key = (user, ts.date())
+        want.setdefault(key, [0, 0])[kind == "click"] += 1
+    assert {(r.user_id, r.window_date): [r.impressions, r.clicks] for r in out.collect()} == want
+
+
 # ---------------------------------------------------------------------------
-# Block top-k kernel and scan spreading
+# Keys, hybrid blend, forecasts, metrics, several blocks
+# ---------------------------------------------------------------------------
+
+
+def test_dense_ids(spark):
+    from inkwell.operators.keys import dense_ids
+    keys = [2 ** 40 + 7 * (i % 500) for i in range(2000)] + [None]
+    got = dense_ids(spark.createDataFrame([(k,) for k in keys], "k long"), "k", "n").collect()
+    assert {r.k: r.n for r in got} == {k: i for i, k in enumerate(sorted({k for k in keys if k}))}
+
+
+def test_als_takes_large_ids(spark):
+    from inkwell.operators.extras import als_scores
+    base = 2 ** 33
+    rows = [(u, base + b, float(1 + (u_ + b) % 3)) for u_, u in enumerate("xyz") for b in range(12) if (b + u_) % 4]
+    out = als_scores(spark.createDataFrame(rows, "user_id string, book_id long, rating double"), rank=4).collect()
+    owned = {(u, b) for u, b, _ in rows}
+    assert {(r.user_id, r.book_id) for r in out} == {
+        (u, base + b) for u in "xyz" for b in range(12)} - owned
+
+
+def test_hybrid_blends_whole_score_tables(spark):
+    import random
+    from inkwell.operators.extras import hybrid_recommendations
+    rng = random.Random(3)
+    sides = [{(u, b): rng.random() for u in "ab" for b in range(200) if rng.random() < 0.7} for _ in range(2)]
+    frames = [spark.createDataFrame([(u, b, s) for (u, b), s in side.items()],
+                                    "user_id string, book_id long, score double") for side in sides]
+    got = {(r.user_id, r["rank"]): r.book_id for r in hybrid_recommendations(*frames, n=10).collect()}
+    for u in "ab":
+        blend = {}
+        for side, weight in zip(sides, (0.6, 0.4)):
+            own = {b: s for (v, b), s in side.items() if v == u}
+            lo, hi = min(own.values()), max(own.values())
+            for b, s in own.items():
+                blend[b] = blend.get(b, 0.0) + weight * (s - lo) / (hi - lo)
+        best = sorted(blend, key=lambda b: (-blend[b], b))[:10]
+        assert [got[u, k] for k in range(1, 11)] == best
+
+
+def test_forecast_holds_every_book_and_day(spark, tmp_path):
+    from inkwell.operators import forecast as FC
+    from inkwell.plans import q_forecast
+    from inkwell.plans.models import Models
+    m = Models(spark, SF_SMALL)
+    model, frame, _, test = q_forecast.trained(m)
+    out = FC.demand_forecast(model, frame, m.dim_books, m.daily_demand, 7)
+    keys = [(r.book_id, r.day) for r in out.collect()]
+    assert len(keys) == len(set(keys)) == 7 * m.dim_books.count()
+    cold = m.dim_books.select((F.col("book_id") + 10 ** 9).alias("book_id")).limit(3)
+    more = FC.demand_forecast(model, frame, cold, m.daily_demand, 2).where("method = 'default'").collect()
+    assert len(more) == 6 and {r.predicted_demand for r in more} == {FC.DEFAULT_DEMAND}
+    FC.save_forest(model, str(tmp_path / "model"))
+    again = FC.load_forest(str(tmp_path / "model"))
+    rows = lambda x: sorted(map(tuple, FC.score(x, test).collect()))
+    assert rows(model) == rows(again)
+    assert FC.feature_importance(model) == FC.feature_importance(again)
+
+
+def test_exact_metrics_do_not_overflow(spark):
+    from inkwell.operators.metrics import regression_metrics
+    df = spark.range(4000).select((F.col("id") * 2_000).alias("label"), (F.col("id") * 2_000 + 1).alias("prediction"))
+    got = regression_metrics(df, exact=True).first()
+    assert got.mae == 1.0 and got.r2 == pytest.approx(1.0)
+
+
+def test_several_blocks_equal_one(spark):
+    from inkwell.operators import similarity as S
+    from inkwell.plans import q_recommend as QR
+    from inkwell.plans.models import Models
+    m = Models(spark, SF_SMALL)
+    vectors, inter = QR.vectors(m), QR.interactions(m)
+    rows = lambda df: sorted((r[0], r[1], round(r[2], 9), r[3]) for r in df.collect())
+    assert rows(S.item_similarity_topk(vectors, 10, blocks=3)) == rows(S.item_similarity_topk(vectors, 10, blocks=1))
+    users = QR.users_of(inter)
+    assert rows(S.user_recommendations(vectors, inter, users, blocks=3)) == rows(
+        S.user_recommendations(vectors, inter, users, blocks=1))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+    from inkwell.session import ensure_checkpoint_dir
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(conf={}, sparkContext=context))
+
+
+# ---------------------------------------------------------------------------
+# Block top-k kernel
 # ---------------------------------------------------------------------------
 
 
@@ -206,14 +335,3 @@ def test_block_topk_kernel_is_exact_under_ties():
     for i in range(300):
         want = sorted((-round(sim[i, j], 9), ids[j]) for j in range(300) if j != i)[:7]
         assert list(got[got.book_id == ids[i]].other_id) == [j for _, j in want]
-
-
-def test_spread_only_when_splits_are_few(spark):
-    from inkwell.sources.catalog import spread
-    slots = spark.sparkContext.defaultParallelism
-    one = spark.range(0, 1000, 1, 1)
-    out = spread(one)
-    assert out.rdd.getNumPartitions() == slots
-    assert sorted(r.id for r in out.collect()) == list(range(1000))
-    many = spark.range(0, 1000, 1, slots)
-    assert spread(many) is many
