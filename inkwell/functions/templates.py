@@ -48,6 +48,7 @@ DASHBOARD_AD_TEMPLATES = {
 }
 AD_CALL_TO_ACTION = {"social_media": "Order now!", "other": "Learn more"}
 DASHBOARD_CALL_TO_ACTION = {"social_media": "Order ${genre} now!", "other": "Learn More"}
+# Values that requests may name; those without texts of their own use the first entry's.
 AD_TYPES = ["social_media", "email", "display", "print"]
 AD_CONFIDENCE = 0.8
 
@@ -69,8 +70,7 @@ IMAGE_PROMPTS = {
     ],
 }
 PROMPT_FOCUS = ["cover", "typography", "theme"]
-IMAGE_STYLES = ["modern", "vintage", "dramatic", "minimalist", "artistic", "photographic"]
-RECOMMENDED_DIMENSIONS = {"cover": "1600x2400", "social": "1080x1080", "banner": "1200x628"}
+IMAGE_STYLES = ["modern", "vintage", "minimalist", "dramatic", "artistic", "commercial"]
 
 GENRE_COLORS = {
     "fiction": ["navy", "gold", "cream"],

@@ -24,9 +24,17 @@ def _variants(books: DataFrame, key: str, key_values: list[str], table: dict[str
     return books.select("book_id", F.explode(F.array(*items)).alias("v")).select("book_id", "v.*")
 
 
+def check_allowed(values: list[str], allowed: list[str], what: str) -> list[str]:
+    unknown = [v for v in values if v not in allowed]
+    if unknown:
+        raise ValueError(f"Invalid {what}: {', '.join(unknown)}")
+    return values
+
+
 def ad_copy(dim_books: DataFrame, ad_types: list[str] | None = None) -> DataFrame:
-    """Variants per book and ad type (unknown type -> social templates)."""
-    ad_types = ad_types or ["social_media", "email", "display"]
+    """Variants per book and ad type. A type without templates of its own
+    (print) uses the social ones; one that is not allowed is an error."""
+    ad_types = check_allowed(ad_types or ["social_media", "email", "display"], T.AD_TYPES, "ad_type")
 
     def extra(kv, i):
         cta = T.AD_CALL_TO_ACTION["social_media" if kv == "social_media" else "other"]
@@ -40,7 +48,7 @@ def ad_copy(dim_books: DataFrame, ad_types: list[str] | None = None) -> DataFram
 
 def ad_copy_dashboard(dim_books: DataFrame, ad_types: list[str] | None = None) -> DataFrame:
     """Dashboard table form: '#n', 'Template', '80%', length, CTA."""
-    ad_types = ad_types or ["social_media", "email", "display"]
+    ad_types = check_allowed(ad_types or ["social_media", "email", "display"], T.AD_TYPES, "ad_type")
     books = dim_books.select(*_BOOK_COLS)
 
     def extra(kv, i):
@@ -53,6 +61,34 @@ def ad_copy_dashboard(dim_books: DataFrame, ad_types: list[str] | None = None) -
                     F.lit("80%").alias("confidence"), F.length("text").alias("length"), "call_to_action")
 
 
+def display_ad_copy(ads: DataFrame) -> DataFrame:
+    """``ad_copy`` rows as shown for an answered request: title-cased type,
+    confidence as a percentage with one decimal."""
+    return ads.select("book_id", "ad_type", F.concat(F.lit("#"), F.col("variant").cast("string")).alias("variant"),
+                      F.col("text").alias("ad_copy"), F.initcap("type").alias("type"),
+                      F.concat(F.format_string("%.1f", F.col("confidence") * 100), F.lit("%")).alias("confidence"),
+                      "length", "call_to_action")
+
+
+def display_image_prompts(prompts: DataFrame) -> DataFrame:
+    """``image_prompts`` rows as shown for an answered request: title-cased
+    focus and style."""
+    return prompts.select("book_id", F.concat(F.lit("#"), F.col("n").cast("string")).alias("prompt_no"),
+                          F.col("prompt").alias("image_prompt"), F.initcap("focus").alias("focus"),
+                          F.initcap("style").alias("style"), "length")
+
+
+def display_recommendations(recommendations: DataFrame) -> DataFrame:
+    """Recommended books as shown: title, genre, score and reason, with the
+    texts used where one is missing."""
+    names = recommendations.columns
+    score = [F.col(c).cast("string") for c in ("confidence_score", "similarity_score") if c in names]
+    text = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in names else F.lit(default)
+    return recommendations.select(
+        text("title", "Unknown").alias("title"), text("genre", "Unknown").alias("genre"),
+        F.coalesce(*score, F.lit("N/A")).alias("confidence_score"), text("reason", "Recommended").alias("reason"))
+
+
 def ad_copy_summary(ads: DataFrame) -> DataFrame:
     """Variants and mean text length per book and ad type."""
     return ads.groupBy("book_id", "ad_type").agg(
@@ -60,9 +96,10 @@ def ad_copy_summary(ads: DataFrame) -> DataFrame:
 
 
 def image_prompts(dim_books: DataFrame, styles: list[str] | None = None) -> DataFrame:
-    """Three prompts per style (unknown style -> modern), focus cycling
-    cover / typography / theme."""
-    styles = styles or ["modern", "vintage", "dramatic"]
+    """Three prompts per style, focus cycling cover / typography / theme. A
+    style without prompts of its own uses the modern ones; one that is not
+    allowed is an error."""
+    styles = check_allowed(styles or ["modern", "vintage", "dramatic"], T.IMAGE_STYLES, "style")
 
     def extra(kv, i):
         return [F.lit(T.PROMPT_FOCUS[i % 3]).alias("focus")]

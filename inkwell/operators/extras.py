@@ -104,6 +104,15 @@ def time_series_folds(daily: DataFrame, n_folds: int = 5) -> DataFrame:
     return dates.select("sale_date", F.ntile(n_folds).over(Window.orderBy("sale_date")).alias("fold"))
 
 
+def time_series_rows(daily: DataFrame, n_folds: int = 5) -> DataFrame:
+    """Rows of ``daily`` for each split 1..n_folds-1 of an expanding window:
+    ``role`` is 'train' up to the split's fold and 'test' in the next one."""
+    folds = daily.join(time_series_folds(daily, n_folds), "sale_date")
+    split = F.explode(F.sequence(F.greatest(F.lit(1), F.col("fold") - 1), F.lit(n_folds - 1))).alias("split")
+    out = folds.select("*", split)
+    return out.withColumn("role", F.when(F.col("fold") <= F.col("split"), "train").otherwise("test"))
+
+
 # ---------------------------------------------------------------------------
 # Collaborative and hybrid scores
 # ---------------------------------------------------------------------------

@@ -75,6 +75,30 @@ def metric_rows(metrics: DataFrame, model_name: str, ts: str, names: list[str])
         "model_name", "ts", "m.metric", "m.value")
 
 
+REGRESSION_METRICS = ["mae", "mse", "rmse", "r2", "mape"]
+CLASSIFICATION_METRICS = ["accuracy", "precision", "recall", "f1_score"]
+
+
+def evaluate(predictions: DataFrame, model_type: str, model_name: str, ts: str) -> DataFrame:
+    """Log rows (model_name, ts, metric, value) of a model's predictions
+    (label, prediction): regression metrics for forecasting and regression
+    models, classification metrics for classifiers, none for other types."""
+    if model_type in ("forecasting", "regression"):
+        wide, names = regression_metrics(predictions), REGRESSION_METRICS
+    elif model_type == "classification":
+        wide, names = classification_metrics(predictions), CLASSIFICATION_METRICS
+    else:
+        return predictions.sparkSession.createDataFrame(
+            [], "model_name string, ts timestamp_ntz, metric string, value double")
+    return metric_rows(wide.withColumn("ts", F.lit(ts).cast("timestamp_ntz")), model_name, "ts", names)
+
+
+def log_metrics(rows: DataFrame, path: str) -> DataFrame:
+    """Append log rows to the metric log and return the whole log."""
+    rows.write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def latest_metrics(log: DataFrame) -> DataFrame:
     """Newest value of every (model, metric)."""
     w = Window.partitionBy("model_name", "metric").orderBy(F.col("ts").desc())

@@ -6,12 +6,16 @@ All checks are aggregations (partial aggregation map-side, no collect).
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+REPORT_SCHEMA = ("table_name string, overall_status string, record_count bigint, column_count int, "
+                 "null_percentage string, issues array<string>")
+REPORT_COLUMNS = [c.split()[0] for c in REPORT_SCHEMA.split(", ")]
 FAILURE_COLUMNS = ["test_name", "table_name", "column_name", "failing_value", "n_rows"]
 
 
@@ -126,7 +130,8 @@ def table_report(df: DataFrame, table: str) -> DataFrame:
     """One report row: status, record / column counts, null %, issues.
     A table with no rows fails with the single issue 'Table is empty'."""
     n_cols = len(df.columns)
-    rules = TABLE_RULES.get(table, [])
+    # A rule whose column the table does not have is not checked.
+    rules = [r for r in TABLE_RULES.get(table, []) if r[1].split()[0] in df.columns]
     agg = df.agg(F.count(F.lit(1)).alias("n"), _null_cells(df).alias("nulls"),
                  *[F.count(F.when(F.expr(cond), 1)).alias(name) for name, cond, _ in rules])
     n, nulls = F.col("n"), F.col("nulls")
@@ -143,3 +148,26 @@ def table_report(df: DataFrame, table: str) -> DataFrame:
         n.alias("record_count"), F.lit(n_cols).cast("int").alias("column_count"),
         F.when(n > 0, _pct_text("nulls", "n", n_cols)).alias("null_percentage"),
         issues.alias("issues"))
+
+
+def validate_tables(spark: SparkSession, tables: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """``table_report`` of each table that its function reads. A table that is
+    not there fails; one whose reading or checking breaks gives status ERROR
+    with the message as its issue, and the others are still reported. Each
+    report (one row) is computed here, because a table may break only when it
+    is read."""
+    rows = []
+    for name, read in tables.items():
+        try:
+            rows += [tuple(r) for r in table_report(read(), name).select(*REPORT_COLUMNS).collect()]
+        except Exception as error:  # any failure is the table's result
+            missing = isinstance(error, AnalysisException) and error.getCondition() in (
+                "PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND")
+            rows.append((name, "FAIL" if missing else "ERROR", None, None, None,
+                         ["Table does not exist" if missing else str(error).split("\n")[0]]))
+    return spark.createDataFrame(rows, REPORT_SCHEMA)
+
+
+def store_failures(failures: DataFrame, path: str) -> None:
+    """Append a test's failing values to the table of stored failures."""
+    failures.select(*FAILURE_COLUMNS).write.mode("append").partitionBy("test_name").parquet(path)

@@ -155,6 +155,19 @@ def popular_by_user_type(dim_books: DataFrame, fact_sales: DataFrame, as_of=None
                                              F.lit(" customers")))
 
 
+def with_popularity(scores: DataFrame, interactions: DataFrame, vectors: DataFrame, popular: DataFrame) -> DataFrame:
+    """Scores of users and items, plus those of items that were bought by
+    someone but have no vector: to users who do not own them they score the
+    units of the popular list, if it has them."""
+    bought = interactions.select("book_id").distinct().join(vectors.select("book_id"), "book_id", "left_anti")
+    units = popular.select("book_id", F.col("total_sales").cast("double").alias("score"))
+    # The popular list is short (its top 100), so its share without vectors is, too.
+    listed = F.broadcast(units.join(bought, "book_id", "left_semi"))
+    users = interactions.select("user_id").distinct()
+    extra = users.crossJoin(listed).join(interactions.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
+    return scores.select("user_id", "book_id", "score").unionByName(extra.select("user_id", "book_id", "score"))
+
+
 def similar_books(dim_books: DataFrame, topk: DataFrame, popular: DataFrame, n: int = 10) -> DataFrame:
     """Top n similar books with details for every catalogue book; a book
     with no feature vector (never sold) gets the popular list, its score

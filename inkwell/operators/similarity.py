@@ -162,9 +162,10 @@ def _pair_topk(k: int):
 
 
 def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFAULT_BLOCK,
-                         blocks: int | None = None) -> DataFrame:
+                         blocks: int | None = None, min_similarity: float | None = None) -> DataFrame:
     """(book_id, other_id, similarity_score, rank) for each item's k most
-    similar other items, exact over the whole catalogue."""
+    similar other items, exact over the whole catalogue; with
+    ``min_similarity``, only those at least that similar."""
     vectors = vectors.checkpoint()
     if blocks is None:
         blocks = n_blocks(vectors.count(), block_size)
@@ -172,6 +173,8 @@ def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFA
     cand = pairs.groupBy("g").applyInPandas(
         _pair_topk(k), "book_id long, other_id long, similarity_score double")
     w = Window.partitionBy("book_id").orderBy(F.round("similarity_score", 9).desc(), "other_id")
+    if min_similarity is not None:
+        cand = cand.where(F.col("similarity_score") >= min_similarity)
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
