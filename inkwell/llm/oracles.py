@@ -142,11 +142,12 @@ r2 AS (SELECT lang, count(*) AS n, [{share('classes', k)}] AS rc, [{share('commo
        FROM near GROUP BY lang),
 a2 AS (SELECT {both('rc', k)} AS ec, {both('rw', m)} AS ew FROM r2),
 ref AS (SELECT lang AS l, CASE WHEN n >= {r.MIN_REFERENCE} THEN rc ELSE ec END AS refc,
-          CASE WHEN n >= {r.MIN_REFERENCE} THEN rw ELSE ew END AS refw FROM r2, a2)
+          CASE WHEN n >= {r.MIN_REFERENCE} THEN rw ELSE ew END AS refw, ec, ew FROM r2, a2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(n_words >= {r.JUDGED_WORDS} AND refc IS NOT NULL
-         AND {_distance('classes', 'refc', k)} > {r.MAX_CLASS_DISTANCE}
-         AND {_distance('common', 'refw', m)} > {r.MAX_WORD_DISTANCE}, false) AS kept
+         AND least({_distance('classes', 'refc', k)}, {_distance('classes', 'ec', k)}) > {r.MAX_CLASS_DISTANCE}
+         AND least({_distance('common', 'refw', m)}, {_distance('common', 'ew', m)}) > {r.MAX_WORD_DISTANCE},
+         false) AS kept
 FROM g LEFT JOIN ref ON lang IS NOT DISTINCT FROM l"""
 
 

@@ -2,9 +2,10 @@
 
 Base rules look at length and repetition. The method compares a document with
 its language: the histogram of its character classes and that of the common
-words it holds, each by Jensen-Shannon distance to the language's reference. A
-document goes if both are too far off; short ones, whose histograms say
-little, are not judged.
+words it holds, each by Jensen-Shannon distance to the language's reference and to that
+of all languages together, which texts of several languages are near to. A
+document goes if both histograms are too far from either; short ones, whose
+histograms say little, are not judged.
 
 References are fitted on all documents that pass the base rules and the length
 guard: first the mean class histogram of each language, then, over the
@@ -120,8 +121,8 @@ def _means(column: str, size: int) -> list[Column]:
 
 
 def _references(rows: DataFrame, **columns: int) -> DataFrame:
-    """(lang, n, an array for each of ``columns``): the sums of each language,
-    those of all languages where it has too few rows."""
+    """(lang, and for each of ``columns`` ref_ and all_ arrays): the sums of each
+    language (of all where it has too few rows) and those of all languages."""
     sums = [m for c, size in columns.items() for m in _means(c, size)]
     per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
     arrays = [F.array(*[f"{c}{i}" for i in range(size)]).alias(f"ref_{c}")
@@ -131,7 +132,7 @@ def _references(rows: DataFrame, **columns: int) -> DataFrame:
     pool = pool.select(*[a.alias(f"all_{c}") for a, c in zip(arrays, columns)])
     per = per.select("lang", "n", *arrays)
     return per.crossJoin(F.broadcast(pool)).select(  # the pool is one row
-        F.col("lang").alias("_lang"),
+        F.col("lang").alias("_lang"), *[f"all_{c}" for c in columns],
         *[F.when(F.col("n") >= MIN_REFERENCE, F.col(f"ref_{c}")).otherwise(F.col(f"all_{c}"))
           .alias(f"ref_{c}") for c in columns])
 
@@ -154,15 +155,16 @@ def judged(docs: DataFrame) -> DataFrame:
     able = rows.where(~F.col("base_failed") & (F.col("n_words") >= JUDGED_WORDS))
     first = _with_references(able, _references(able, classes=len(CLASSES) + 1))
     first = first.withColumn("far", F.floor(distance(F.col("classes"), F.col("ref_classes")) * SCALE))
-    first = stored(first.drop("ref_classes"), "rules-first")
+    first = stored(first.drop("ref_classes", "all_classes"), "rules-first")
     mean = first.groupBy(F.col("lang").alias("_lang")).agg(
         F.sum("far").alias("far_sum"), F.count(F.lit(1)).alias("far_n"))
     near = join_counted(first, mean, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
     near = near.where(F.col("far") * F.col("far_n") <= F.col("far_sum"))
     sizes = {"classes": len(CLASSES) + 1, "common": len(COMMON_WORDS) + 1}
     out = _with_references(rows, stored(_references(near, **sizes), "rules-references"))
-    off = ((distance(F.col("classes"), F.col("ref_classes")) > MAX_CLASS_DISTANCE)
-           & (distance(F.col("common"), F.col("ref_common")) > MAX_WORD_DISTANCE))
+    nearest = lambda c: F.least(distance(F.col(c), F.col(f"ref_{c}")),
+                                distance(F.col(c), F.col(f"all_{c}")))
+    off = (nearest("classes") > MAX_CLASS_DISTANCE) & (nearest("common") > MAX_WORD_DISTANCE)
     seen = ~F.col("base_failed") & (F.col("n_words") >= JUDGED_WORDS) & F.col("ref_classes").isNotNull()
     return out.withColumn("kept", ~F.col("base_failed") & ~F.when(seen, off).otherwise(F.lit(False)))
 
