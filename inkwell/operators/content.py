@@ -5,10 +5,11 @@ fanned out with ``posexplode`` (no Python per row)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import templates as T
+from inkwell.operators.keys import with_group_heads
 
 _BOOK_COLS = ["book_id", "title", "author", "genre", "price"]
 
@@ -133,18 +134,15 @@ def recommendation_text(dim_books: DataFrame, user_types: list[str] | None = Non
 
 
 def same_genre_others(dim_books: DataFrame, k: int = 3) -> DataFrame:
-    """For every book, the first k other books of its genre by id:
-    the genre's first k+1 (WindowGroupLimit per genre) minus the book."""
-    w = Window.partitionBy("genre").orderBy("book_id")
-    first = (dim_books.select("genre", "book_id", "title", "author")
-             .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
-             .select(F.col("genre").alias("_g"), F.col("book_id").alias("other_id"),
-                     F.col("title").alias("other_title"), F.col("author").alias("other_author"), "_r"))
-    pairs = (dim_books.select("book_id", "genre").join(first, F.col("genre") == F.col("_g"))
-             .where(F.col("other_id") != F.col("book_id")))
-    w2 = Window.partitionBy("book_id").orderBy("_r")
-    return (pairs.withColumn("pos", F.row_number().over(w2)).where(F.col("pos") <= k)
-            .select("book_id", "pos", "other_id", "other_title", "other_author"))
+    """For every book, the first k other books of its genre by id: the
+    genre's first k+1, one short list, minus the book."""
+    item = F.struct(F.col("book_id").alias("other_id"), F.col("title").alias("other_title"),
+                    F.col("author").alias("other_author"))
+    rows = with_group_heads(dim_books.select("book_id", "genre"), dim_books, "genre", [F.col("book_id")],
+                            item, k + 1)
+    own = F.slice(F.filter("_head", lambda x: x["other_id"] != F.col("book_id")), 1, k)
+    return (rows.select("book_id", F.posexplode(own).alias("_p", "x"))
+            .select("book_id", (F.col("_p") + 1).alias("pos"), "x.*"))
 
 
 def same_genre_context(dim_books: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.columns import UNIT, exact_avg, exact_sum
+from inkwell.operators.keys import with_group_heads
 
 # ---------------------------------------------------------------------------
 # Catalog lists
@@ -146,27 +147,17 @@ def popular_overall(popularity: DataFrame, n: int = 10) -> DataFrame:
 def similar_by_genre(popularity: DataFrame, n: int = 5) -> DataFrame:
     """For every book, the n most popular other books of its genre.
 
-    Exact without pairing books: a book's list is its genre's top n+1
-    minus itself. The per-genre top n+1 is a row_number filter (planned as
-    a WindowGroupLimit that keeps n+1 rows per task before the shuffle), so
-    a genre holding a third of the catalogue costs n+1 rows per task.
+    Exact without pairing books: a book's list is its genre's top n+1 minus
+    itself, taken from one short list per genre.
     """
     order = [F.col("popularity").desc(), F.col("title").asc_nulls_last(), F.col("book_id")]
-    w = Window.partitionBy("genre").orderBy(*order)
-    top = (popularity.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n + 1)
-           .select(F.col("genre").alias("_g"), F.col("book_id").alias("rec_book_id"),
-                   F.col("title").alias("rec_title"), F.col("price").alias("rec_price"),
-                   F.col("price_category").alias("rec_price_category"),
-                   F.col("popularity").alias("rec_popularity"), "_r"))
-    pairs = (popularity.select("book_id", "genre")
-             .join(top, F.col("genre") == F.col("_g"))
-             .where(F.col("rec_book_id") != F.col("book_id")))
-    w2 = Window.partitionBy("book_id").orderBy("_r")
-    return (pairs.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
-            .select(F.col("book_id").alias("source_book_id"), F.col("rec_book_id").alias("book_id"),
-                    F.col("rec_title").alias("title"), F.col("genre"),
-                    F.col("rec_price").alias("price"), F.col("rec_price_category").alias("price_category"),
-                    F.col("rec_popularity").alias("popularity"), "rank"))
+    item = F.struct("book_id", "title", "price", "price_category", "popularity")
+    rows = with_group_heads(popularity.select(F.col("book_id").alias("source_book_id"), "genre"),
+                            popularity, "genre", order, item, n + 1)
+    own = F.slice(F.filter("_head", lambda x: x["book_id"] != F.col("source_book_id")), 1, n)
+    rows = rows.select("source_book_id", "genre", F.posexplode(own).alias("_p", "x"))
+    return rows.select("source_book_id", "x.book_id", "x.title", "genre", "x.price", "x.price_category",
+                       "x.popularity", (F.col("_p") + 1).alias("rank"))
 
 
 # ---------------------------------------------------------------------------

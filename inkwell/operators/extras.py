@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.columns import UNIT, as_of_lit, exact_avg, exact_sum
-from inkwell.operators.keys import dense_ids
+from inkwell.operators.keys import dense_ids, group_positions
 from inkwell.operators.recommend import _since, check_n
 from inkwell.operators.similarity import _with_one_row
 
@@ -212,9 +212,10 @@ def sales_page(fact_sales: DataFrame, channel: str | None = None, start=None, en
 
 
 def books_by_genre(dim_books: DataFrame) -> DataFrame:
-    w = Window.partitionBy("genre").orderBy(F.col("title").asc_nulls_last(), "book_id")
-    return dim_books.select("genre", "book_id", "title", "author", "price",
-                            F.row_number().over(w).alias("position"))
+    """Each genre's books by title, with their position; a genre may span
+    many tasks."""
+    rows = dim_books.select("genre", "book_id", "title", "author", "price")
+    return group_positions(rows, "genre", [F.col("title").asc_nulls_last(), F.col("book_id").asc()], "position")
 
 
 def sales_by(fact_sales: DataFrame, column: str) -> DataFrame:

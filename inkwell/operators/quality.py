@@ -78,6 +78,27 @@ def test_summary(failures: Sequence[tuple[str, str, str, DataFrame]]) -> DataFra
         "status", F.when(F.col("failures") > 0, "fail").otherwise("pass"))
 
 
+def table_summary(df: DataFrame, table: str, not_null: Sequence[str] = (),
+                  ranges: Sequence[tuple[str, float | None, float | None]] = ()) -> DataFrame:
+    """``test_summary`` rows of all not-null and range tests of one table, from
+    one aggregate over it."""
+    tests = [("not_null", c, F.col(c).isNull()) for c in not_null]
+    for c, lo, hi in ranges:
+        bad = F.lit(False)
+        if lo is not None:
+            bad = bad | (F.col(c) < lo)
+        if hi is not None:
+            bad = bad | (F.col(c) > hi)
+        tests.append(("accepted_range", c, bad))
+    counts = df.agg(*[F.count(F.when(bad, 1)).alias(f"_{i}") for i, (_, _, bad) in enumerate(tests)])
+    rows = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("test_name"), F.lit(table).alias("table_name"),
+                 F.lit(c).alias("column_name"), F.col(f"_{i}").alias("failures"))
+        for i, (kind, c, _) in enumerate(tests)])).alias("t")
+    return counts.select(rows).select("t.*").withColumn(
+        "status", F.when(F.col("failures") > 0, "fail").otherwise("pass"))
+
+
 # --------------------------------------------------------------------------
 # Table-level validator (null ratio, per-table rules, report).
 # --------------------------------------------------------------------------

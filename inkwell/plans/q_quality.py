@@ -93,7 +93,18 @@ _summary_sql = "\nUNION ALL\n".join(
     f"CASE WHEN COALESCE(SUM(n_rows), 0) > 0 THEN 'fail' ELSE 'pass' END AS status FROM ({s}) f"
     for k, t, c, s in _sql_tests())
 register("dq_tests_summary", build(_summary_sql, *_deps(_sql_tests())))(
-    lambda m: quality.test_summary(_spark_tests(m)))
+    lambda m: _tests_summary(m))
+
+
+def _tests_summary(m):
+    """One aggregate per table for its not-null and range tests, one grouping
+    per unique key, one join per relationship."""
+    tables = list(dict.fromkeys(t for t, _ in UNIQUE_NOT_NULL + NOT_NULL_ONLY))
+    tables += [t for t, *_ in RANGES if t not in tables]
+    rows = [quality.table_summary(
+        _frame(m, t), t, [c for x, c in UNIQUE_NOT_NULL + NOT_NULL_ONLY if x == t],
+        [(c, lo, hi) for x, c, lo, hi in RANGES if x == t]) for t in tables]
+    return quality.union_all([quality.test_summary(_spark_tests(m, ("unique", "relationships"))), *rows])
 
 # -- table validator ---------------------------------------------------------
 _RAW_COLS = {
