@@ -5,19 +5,22 @@ value (NULL -> all zero), z-scored with the population mean / stddev
 (constant column -> 0), then divided by their norm (zero vector stays 0,
 so its cosine with anything is 0).
 
-Exact top-k without pairing rows: items are hashed into B blocks of about
-``block_size`` items; each item is sent once to every block pair it takes
-part in, so one ``applyInPandas`` group holds two blocks (memory bounded
-by the block size, not by the catalogue). A group computes the dense
-block product with NumPy and emits only each row's k best partners, so
-the shuffle after it carries k rows per item per block, never the pairs.
-The same pass yields the per-user sums of user recommendations.
+Exact top-k without pairing rows: items stand in blocks of about
+``block_size`` neighbours (the same nearest pivot). Each block knows its
+centre, its angular radius and the score that every one of its items reaches
+with its own block; a block pair is multiplied only if the angle between
+the centres less the radii allows that score. Items are sent once to each
+needed pair, so one ``applyInPandas`` group holds two blocks (memory bounded
+by the block size, not by the catalogue); it computes the dense product with
+NumPy and emits only each row's k best partners. How many pairs remain
+depends on how the items cluster. User recommendations sum over all items
+a user owns, so they need all block pairs (blocks by hash).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,11 @@ from pyspark.sql import functions as F
 NUMERIC_FEATURES = ["price", "page_count", "publication_year", "total_sales", "velocity_score",
                     "avg_selling_price"]
 CATEGORY_FEATURES = ["genre", "price_category", "publisher_type"]
+# Tasks for block pairs at most, and the slack of the floors (arc cosines near 0, rounded ties).
+PAIR_TASKS = 2000
+# Up to so many blocks all pairs are multiplied.
+FEW_BLOCKS = 16
+FLOOR_SLACK = 1e-6
 DEFAULT_BLOCK = 4096  # items per block: a group holds two blocks, ~0.5 GB of products
 
 
@@ -96,15 +104,100 @@ def _block_pairs(vectors: DataFrame, blocks: int, extra: Sequence[str] = ()) ->
     return left.unionByName(right).drop("blk")
 
 
-def _spread_pairs(pairs: DataFrame, blocks: int) -> DataFrame:
-    """One block pair per task: pairs are near-equal in size, so a range
-    partitioning on the dense pair index gives each its own partition
-    (hashing few keys into few partitions stacks several in one task),
-    and its explicit count keeps AQE from merging the compute-heavy
-    tasks. Grouping by the same index then needs no further exchange."""
-    n_pairs = blocks * (blocks + 1) // 2
-    g = (F.col("pi") * F.lit(blocks) + F.col("pj")).alias("g")
-    return pairs.select("*", g).repartitionByRange(n_pairs, "g")
+def _spread_pairs(pairs: DataFrame, blocks: int, n_pairs: int | None = None) -> DataFrame:
+    """Block pairs dealt to tasks. Up to ``PAIR_TASKS`` pairs, each has a task
+    of its own (a range partitioning on the pair; hashing few keys would stack
+    several in one task); more are hashed to that many tasks, so the number of
+    partitions does not grow with the pairs. The explicit count keeps AQE from
+    merging the compute-heavy tasks."""
+    n_pairs = n_pairs or blocks * (blocks + 1) // 2
+    g = (F.col("pi").cast("bigint") * F.lit(blocks) + F.col("pj")).alias("g")
+    pairs = pairs.select("*", g)
+    return pairs.repartitionByRange(n_pairs, "g") if n_pairs <= PAIR_TASKS else pairs.repartition(PAIR_TASKS, "g")
+
+
+# ---------------------------------------------------------------------------
+# Blocks of neighbours and the block pairs that can matter
+# ---------------------------------------------------------------------------
+
+
+def neighbour_blocks(vectors: DataFrame, blocks: int, block_size: int) -> tuple[DataFrame, int]:
+    """``vectors`` with ``blk`` (checkpointed), and the number of blocks. Every
+    item goes to the nearest of ``blocks`` pivots (the items with the lowest
+    digests); pivots with more than ``block_size`` items have several blocks."""
+    rows = vectors.orderBy(F.xxhash64("book_id"), "book_id").limit(blocks).select("vec").collect()
+    pivots = np.array([r[0] for r in rows], dtype=np.float64)  # one for every block_size items
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                pdf["cell"] = (np.vstack(pdf["vec"].to_numpy()) @ pivots.T).argmax(axis=1).astype(np.int32)
+                yield pdf
+
+    placed = vectors.select("book_id", "vec").mapInPandas(
+        nearest, "book_id long, vec array<double>, cell int").checkpoint()
+    sizes = placed.groupBy("cell").count().orderBy("cell").collect()
+    table, total = [], 0
+    for r in sizes:
+        parts = math.ceil(r["count"] / block_size)
+        table.append((r["cell"], total, parts))
+        total += parts
+    cells = vectors.sparkSession.createDataFrame(table, "cell int, first int, parts int")
+    blk = F.col("first") + F.pmod(F.xxhash64("book_id"), F.col("parts"))
+    return placed.join(F.broadcast(cells), "cell").select(
+        "book_id", "vec", blk.cast("int").alias("blk")), total
+
+
+def _block_bounds(k: int):
+    """Centre and angular radius of a block, and the score that the k-th best
+    item of its own block reaches for every one of its items."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.vstack(pdf["vec"].to_numpy())
+        long = np.linalg.norm(v, axis=1) > 0.5  # unit vectors; the others are zero
+        mean = v.sum(axis=0)
+        size = np.linalg.norm(mean)
+        centre = mean / size if size > 0 else mean
+        radius = float(np.arccos(np.clip(v[long] @ centre, -1, 1)).max()) if long.any() and size > 0 else np.pi
+        floor = -2.0
+        if len(v) > k:
+            s = v @ v.T
+            np.fill_diagonal(s, -np.inf)
+            floor = float(np.partition(s, len(v) - k, axis=1)[:, len(v) - k].min())
+        return pd.DataFrame({"blk": [int(pdf["blk"].iat[0])], "centre": [centre], "radius": [radius],
+                             "floor": [floor], "zero": [bool((~long).any())]})
+    return run
+
+
+def needed_pairs(bounds: pd.DataFrame) -> np.ndarray:
+    """(blocks, blocks) flags: pairs in which an item of one block can score at
+    least its own block's floor with an item of the other. The cosine of two
+    items is at most that of the angle between the centres less both radii."""
+    centre = np.vstack(bounds["centre"].to_numpy())
+    radius, floor = bounds["radius"].to_numpy(), bounds["floor"].to_numpy()
+    gap = np.arccos(np.clip(centre @ centre.T, -1, 1)) - radius[:, None] - radius[None, :]
+    best = np.cos(np.clip(gap, 0, np.pi))
+    zero = bounds["zero"].to_numpy()  # a zero vector scores 0 with everything
+    best = np.where(zero[:, None] | zero[None, :], np.maximum(best, 0), best)
+    need = best >= floor[:, None] - FLOOR_SLACK
+    need = need | need.T
+    np.fill_diagonal(need, True)
+    return need
+
+
+def _needed_block_pairs(placed: DataFrame, k: int, blocks: int) -> tuple[DataFrame, int]:
+    """Items once per needed block pair, as ``_block_pairs`` gives them for all
+    pairs; and the number of pairs. One row per block reaches the driver."""
+    stats = placed.groupBy("blk").applyInPandas(
+        _block_bounds(k), "blk int, centre array<double>, radius double, floor double, zero boolean")
+    need = needed_pairs(stats.toPandas().sort_values("blk"))
+    partners = placed.sparkSession.createDataFrame(
+        [(int(b), np.flatnonzero(need[b]).tolist()) for b in range(blocks)], "blk int, partners array<int>")
+    each = placed.join(F.broadcast(partners), "blk").select("book_id", "vec", "blk", F.explode("partners").alias("p"))
+    left, own = F.col("blk") <= F.col("p"), F.col("blk") == F.col("p")
+    roles = F.when(own, F.array(F.lit("L"), F.lit("R"))).otherwise(F.array(F.when(left, "L").otherwise("R")))
+    pairs = each.select("book_id", "vec", F.explode(roles).alias("role"),
+                        F.least("blk", "p").alias("pi"), F.greatest("blk", "p").alias("pj"))
+    return pairs, int(np.triu(need).sum())
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,11 +258,18 @@ def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFA
                          blocks: int | None = None, min_similarity: float | None = None) -> DataFrame:
     """(book_id, other_id, similarity_score, rank) for each item's k most
     similar other items, exact over the whole catalogue; with
-    ``min_similarity``, only those at least that similar."""
+    ``min_similarity``, only those at least that similar. Blocks hold
+    neighbouring items, and only block pairs whose items can come near enough
+    are multiplied."""
     vectors = vectors.checkpoint()
-    if blocks is None:
-        blocks = n_blocks(vectors.count(), block_size)
-    pairs = _spread_pairs(_block_pairs(vectors, blocks), blocks)
+    count = vectors.count()
+    blocks = blocks or n_blocks(count, block_size)
+    if blocks <= FEW_BLOCKS:  # bounds cost more than the pairs they could save
+        pairs = _spread_pairs(_block_pairs(vectors, blocks), blocks)
+    else:
+        placed, blocks = neighbour_blocks(vectors, blocks, max(block_size, -(-count // blocks)))
+        pairs, n_pairs = _needed_block_pairs(placed, k, blocks)
+        pairs = _spread_pairs(pairs, blocks, n_pairs)
     cand = pairs.groupBy("g").applyInPandas(
         _pair_topk(k), "book_id long, other_id long, similarity_score double")
     w = Window.partitionBy("book_id").orderBy(F.round("similarity_score", 9).desc(), "other_id")

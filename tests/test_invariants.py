@@ -310,6 +310,27 @@ def test_several_blocks_equal_one(spark):
         S.user_recommendations(vectors, inter, users, blocks=1))
 
 
+def test_neighbour_blocks_skip_pairs_and_stay_exact(spark):
+    import numpy as np
+    from inkwell.operators import similarity as S
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8))
+    v = np.repeat(centres, 40, axis=0) + rng.normal(scale=0.02, size=(480, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[5] = 0.0  # a zero vector scores 0 with everything
+    v[50] = v[51] = v[52]  # ties
+    df = spark.createDataFrame([(i * 7, [float(x) for x in r]) for i, r in enumerate(v)],
+                               "book_id long, vec array<double>")
+    got = {(r.book_id, r["rank"]): r.other_id for r in S.item_similarity_topk(df, 5, blocks=24).collect()}
+    sim = v @ v.T
+    for i in range(480):
+        want = sorted((-round(sim[i, j], 9), j * 7) for j in range(480) if j != i)[:5]
+        assert [got[i * 7, k] for k in range(1, 6)] == [j for _, j in want], i
+    placed, n = S.neighbour_blocks(df.where("book_id != 35"), 24, 40)
+    _, pairs = S._needed_block_pairs(placed, 5, n)
+    assert pairs < 0.5 * n * (n + 1) / 2
+
+
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
     from types import SimpleNamespace
     from inkwell.session import ensure_checkpoint_dir
