@@ -224,8 +224,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     features reach the driver: at most max_labelled * TRAIN_PASSAGES vectors.
     """
     known = (labels.select("doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL")
-             .where(~held_out(F.col("doc_id")))
-             .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled))
+             .where(~held_out(F.col("doc_id"))).withColumn("_h", F.xxhash64("doc_id")))
+    # Digests are spread evenly: about twice the rows wanted lie below this one,
+    # so that the tasks do not each send a whole sample to the driver.
+    rows = known.count()
+    if rows > 4 * max_labelled:
+        low = known.where(F.col("_h") <= -(1 << 63) + (1 << 64) * 2 * max_labelled // rows)
+        known = low if low.count() >= max_labelled else known
+    known = known.orderBy("_h", "doc_id", "quality").limit(max_labelled).drop("_h")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
 
