@@ -48,10 +48,12 @@ def recent_performance_30d(fact_sales: DataFrame, as_of: _dt.date | str | None =
 
 
 def book_features(dim_books: DataFrame, dim_publishers: DataFrame, fact_sales: DataFrame,
-                  as_of: _dt.date | str | None = None, min_transactions: int | None = None) -> DataFrame:
+                  as_of: _dt.date | str | None = None, min_transactions: int | None = None,
+                  run_ts: str | None = None) -> DataFrame:
     """One feature row per book: attributes, lifetime and 30-day sales,
-    derived ratios. Both sales aggregates are one row per book before
-    joining, so the three book_id joins share one partitioning."""
+    derived ratios, and the load stamp ``run_ts`` if there is one. Both
+    sales aggregates are one row per book before joining, so the three
+    book_id joins share one partitioning."""
     today = as_of_lit(as_of)
     sm = book_sales_metrics(fact_sales).alias("sm")
     rp = recent_performance_30d(fact_sales, as_of).alias("rp")
@@ -89,6 +91,7 @@ def book_features(dim_books: DataFrame, dim_publishers: DataFrame, fact_sales: D
          .otherwise(F.lit(0.0)).alias("price_per_page"),
         ((F.year(today) - F.col("b.publication_year")) * 12 + F.month(today)).cast("int")
         .alias("book_age_months"),
+        *([] if run_ts is None else [F.lit(run_ts).cast("timestamp_ntz").alias("feature_created_at")]),
     )
     if min_transactions is not None:
         out = out.where(F.col("total_transactions") >= min_transactions)

@@ -28,11 +28,16 @@ VIEW_MODELS = ("stg_books", "stg_publishers", "stg_inventory", "stg_sales",
 
 
 class Models:
+    """``run_ts`` is the run's load stamp: with it the staging models, the
+    fact table (20 columns) and the book features (34) carry it; without it
+    results do not depend on when they were made."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, as_of: _dt.date | str | None = None,
-                 store: str | None = None):
+                 store: str | None = None, run_ts: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of or DEFAULT_AS_OF
+        self.run_ts = run_ts
         self.store = store.rstrip("/") if store else None
         self._stored: dict[str, DataFrame] = {}
 
@@ -73,19 +78,19 @@ class Models:
     # -- staging (views) ---------------------------------------------------
     @cached_property
     def stg_books(self) -> DataFrame:
-        return staging.stg_books(self.raw("books"))
+        return staging.stg_books(self.raw("books"), self.run_ts)
 
     @cached_property
     def stg_publishers(self) -> DataFrame:
-        return staging.stg_publishers(self.raw("publishers"))
+        return staging.stg_publishers(self.raw("publishers"), self.run_ts)
 
     @cached_property
     def stg_inventory(self) -> DataFrame:
-        return staging.stg_inventory(self.raw("inventory"))
+        return staging.stg_inventory(self.raw("inventory"), self.run_ts)
 
     @cached_property
     def stg_sales(self) -> DataFrame:
-        return staging.stg_sales(self.raw("sales"))
+        return staging.stg_sales(self.raw("sales"), self.run_ts)
 
     # -- marts (tables) ----------------------------------------------------
     @cached_property
@@ -124,7 +129,7 @@ class Models:
     @cached_property
     def book_features(self) -> DataFrame:
         return self._table("book_features", lambda: features.book_features(
-            self.dim_books, self.dim_publishers, self.fact_sales, self.as_of))
+            self.dim_books, self.dim_publishers, self.fact_sales, self.as_of, run_ts=self.run_ts))
 
     # -- experiments (views) -------------------------------------------------
     @cached_property

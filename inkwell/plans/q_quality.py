@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.columns import safe_division
 from inkwell.operators import incremental, quality
-from inkwell.plans.oracle import build, cte
+from inkwell.plans.models import Models
+from inkwell.plans.oracle import build
 from inkwell.plans.registry import register
 from inkwell.session import scratch_dir
 from inkwell.sources import catalog
@@ -175,14 +176,13 @@ def _incremental(m):
     FIRST_LOAD_END except those of LATE_DAY; the second brings the rest, the
     late ones included, and CHANGED_DAY again with other quantities."""
     day = lambda d: F.col("sale_date") == F.lit(d).cast("date")
-    stamp = lambda ts: F.lit(ts).cast("timestamp_ntz").alias(incremental.LOAD_STAMP)
-    f = m.fact_sales
+    facts = lambda ts: Models(m.spark, m.sf_dir, m.as_of, run_ts=ts).fact_sales
     early = (F.col("sale_date") < F.lit(FIRST_LOAD_END).cast("date")) & ~day(LATE_DAY)
     path = scratch_dir(m.spark, f"fact-incremental-{uuid.uuid4().hex}")
-    incremental.write_upsert(m.spark, path, f.where(early).select("*", stamp(FIRST_LOAD)))
-    batch = f.where(~early | day(CHANGED_DAY)).withColumn(
+    incremental.write_upsert(m.spark, path, facts(FIRST_LOAD).where(early))
+    batch = facts(SECOND_LOAD).where(~early | day(CHANGED_DAY)).withColumn(
         "quantity", F.when(day(CHANGED_DAY), F.col("quantity") + 1).otherwise(F.col("quantity")))
-    return incremental.write_upsert(m.spark, path, batch.select("*", stamp(SECOND_LOAD)))
+    return incremental.write_upsert(m.spark, path, batch)
 
 
 _plain = ("transaction_id, book_id, sale_date, unit_price, discount_percent, total_amount, channel, "

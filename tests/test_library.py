@@ -138,3 +138,11 @@ def test_stored_models_equal_views(spark, tmp_path):
         a, b = getattr(stored, name), getattr(lazy, name)
         assert a.columns == b.columns
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), name
+
+
+def test_load_stamp_reaches_the_models(spark):
+    m = Models(spark, SF_SMALL, run_ts="2001-08-01 12:00:00")
+    assert len(m.fact_sales.columns) == 20 and len(m.book_features.columns) == 34
+    stamp = dt.datetime(2001, 8, 1, 12)
+    assert [r[0] for r in m.fact_sales.select("dbt_updated_at").distinct().collect()] == [stamp]
+    assert [r[0] for r in m.book_features.select("feature_created_at").distinct().collect()] == [stamp]
