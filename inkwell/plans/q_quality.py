@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.columns import safe_division
 from inkwell.operators import incremental, quality
-from inkwell.plans.models import Models
 from inkwell.plans.oracle import build
 from inkwell.plans.registry import register
 from inkwell.session import scratch_dir
@@ -176,7 +175,9 @@ def _incremental(m):
     FIRST_LOAD_END except those of LATE_DAY; the second brings the rest, the
     late ones included, and CHANGED_DAY again with other quantities."""
     day = lambda d: F.col("sale_date") == F.lit(d).cast("date")
-    facts = lambda ts: Models(m.spark, m.sf_dir, m.as_of, run_ts=ts).fact_sales
+    # The facts of a run with this load stamp (as ``Models(run_ts=...)`` gives them).
+    facts = lambda ts: m.fact_sales.withColumn(
+        incremental.LOAD_STAMP, F.lit(ts).cast("timestamp_ntz"))
     early = (F.col("sale_date") < F.lit(FIRST_LOAD_END).cast("date")) & ~day(LATE_DAY)
     path = scratch_dir(m.spark, f"fact-incremental-{uuid.uuid4().hex}")
     incremental.write_upsert(m.spark, path, facts(FIRST_LOAD).where(early))
