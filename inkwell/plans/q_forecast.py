@@ -3,12 +3,13 @@ checked by rows and invariants (tests); everything else has an oracle."""
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
 from inkwell.operators import forecast as FC
 from inkwell.operators import metrics as MT
+from inkwell.operators.incremental import read_table
 from inkwell.plans.oracle import build, cte
 from inkwell.plans.registry import register
 from inkwell.session import scratch_dir
@@ -19,14 +20,20 @@ def training_frame(m):
 
 def trained(m):
     """(model, frame, train, test). The frame is checkpointed before fitting;
-    the fitted model is saved to the shared folder and loaded from there. Both
-    belong to ``m``: another run, folder or date fits its own."""
+    the fitted model is saved to the shared folder and loaded from there. It is
+    kept under the digest of the rows it was fitted on, so a later query of the
+    application loads it and other rows get their own."""
     if not hasattr(m, "forest"):
         frame = FC.split_flag(training_frame(m)).checkpoint()
         whole = FC.complete_rows(frame)
         train, test = whole.where(~F.col("is_test")), whole.where(F.col("is_test"))
-        path = scratch_dir(m.spark, f"forest-{uuid.uuid4().hex}")
-        FC.save_forest(FC.fit_forest(train), path)
+        digest = F.xxhash64(*train.columns).cast("decimal(20,0)")
+        rows = tuple(train.agg(F.count(F.lit(1)), F.sum(digest)).first())
+        name = hashlib.sha1(f"{m.spark.sparkContext.applicationId} {rows}".encode()).hexdigest()
+        path = scratch_dir(m.spark, f"forest-{name}")
+        if read_table(m.spark, f"{path}-done") is None:
+            FC.save_forest(FC.fit_forest(train), path)
+            m.spark.range(1).write.mode("overwrite").parquet(f"{path}-done")
         m.forest = (FC.load_forest(path), frame, train, test)
     return m.forest
 
