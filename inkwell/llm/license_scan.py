@@ -8,6 +8,10 @@ licences; digests of whole canonical lines to those of known licence notices.
 
 from __future__ import annotations
 
+from hashlib import sha256
+from itertools import chain, product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,6 +133,63 @@ NOTICES = {
             "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0",),
 }
+#: Published texts of the longer licences, one file each, as their stewards print them.
+TEXTS = Path(__file__).parent / "licences"
+#: Title lines of the licences above (fixed values); each also goes with "The" before it.
+TITLES = {
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT", "Expat License", "MIT License (Expat)", "License: MIT"),
+    "ISC": ("ISC License", "ISC License (ISC)", "ISC", "ISC License (ISCL)", "License: ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD",
+             "BSD Zero Clause License (0BSD)", "Zero-Clause BSD (0BSD)", "BSD 0-Clause License",
+             "0-Clause BSD License", "Zero-Clause BSD License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License',
+                     "Simplified BSD License", "FreeBSD License", "BSD License", "BSD-2-Clause",
+                     "BSD 2-Clause License (BSD-2-Clause)", "BSD Two-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License',
+                     "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License",
+                     "BSD-3-Clause", "BSD 3-Clause License (BSD-3-Clause)", "BSD Three-Clause License"),
+    "Zlib": ("zlib License", "zlib/libpng License", "zlib License (Zlib)", "zlib/libpng License (Zlib)",
+             "zlib", "License: Zlib"),
+}
+#: Parties that disclaim, and that are not liable, in the BSD licences in use.
+_PARTIES = (
+    ("copyright holders and contributors", "copyright holder or contributors"),
+    ("copyright holders and contributors", "copyright holders or contributors"),
+    ("copyright holder and contributors", "copyright holder or contributors"),
+    ("copyright holder and contributors", "copyright holders or contributors"),
+    ("author and contributors", "author or contributors"), ("authors and contributors", "authors or contributors"),
+    ("regents and contributors", "regents or contributors"), ("author", "author"), ("authors", "authors"),
+    ("copyright holder", "copyright holder"), ("copyright holders", "copyright holders"))
+_BSD_WORDS = tuple((("by the copyright holders and contributors", f"by the {by}"),
+                    ("shall the copyright holder or contributors", f"shall the {liable}"))
+                   for by, liable in _PARTIES)
+_THIRD = "neither the name of the copyright holder nor the names of its contributors"
+_THIRDS = tuple(((_THIRD, f"neither {x}"),) for x in (
+    _THIRD[8:], "the name of the copyright holder nor the names of contributors",
+    "the names of the copyright holders nor the names of its contributors",
+    "the names of the copyright holders nor the names of their contributors",
+    "the name of the copyright holders nor the names of its contributors",
+    "the name of the author nor the names of its contributors",
+    "the name of the author nor the names of contributors",
+    "the name of the university nor the names of its contributors"))
+_ISC_WORDS = (((), (("and or distribute", "and distribute"),)),
+              tuple((("the author", x),) for x in ("the author", "the authors", "the copyright holder",
+                                                   "the copyright holders")))
+#: Wordings in use: of each tuple one set of (canonical words, words in their place) applies.
+WORDINGS = {
+    "MIT": (((), (("permission notice shall", "permission notice including the next paragraph shall"),)),
+            tuple((("shall the authors or copyright holders", f"shall the {x}"),) for x in (
+                "authors or copyright holders", "copyright holders or authors", "copyright holders", "authors"))),
+    "ISC": _ISC_WORDS,
+    "0BSD": _ISC_WORDS,
+    "BSD-2-Clause": (_BSD_WORDS,),
+    "BSD-3-Clause": (_BSD_WORDS, _THIRDS),
+    "Zlib": (((), (("the authors be held", "the author be held"),)),),
+}
+#: List enumerators of the first, second and third condition; bullets leave none.
+ENUMERATORS = (("1", "2", "3"), ("", "", ""), ("a", "b", "c"), ("i", "ii", "iii"))
+_STARTS = ("redistributions of source code must", "redistributions in binary form must", "neither the name",
+           "the origin of this software", "altered source versions", "this notice may not be removed")
 _SPELT = " (" + "|".join(SPELLINGS) + ") "
 
 
@@ -159,16 +220,52 @@ def canonical(text: Column) -> Column:
     return F.array_join(canonical_lines(text), " ")
 
 
+def _worded(licence: str, body: str) -> set[str]:
+    """Canonical text ``body`` in all wordings and with all enumerators in use."""
+    out = set()
+    for marks, *sets in product(ENUMERATORS, *WORDINGS.get(licence, ())):
+        text = body
+        for words, others in chain(*sets):
+            text = text.replace(words, others)
+        for k, start in enumerate(_STARTS):
+            text = text.replace(f" {k % 3 + 1} {start}", f" {marks[k % 3]} {start}".replace("  ", " "))
+        out.add(text)
+    return out
+
+
+def _texts() -> list[tuple[str, str]]:
+    """(licence, text) of the published texts, whole and up to the end of the
+    terms, where instructions for use follow."""
+    found = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text("utf-8")
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        found += [(path.stem, x) for x in dict.fromkeys((text, terms, terms + end))]
+    return found
+
+
 def known_licences(spark: SparkSession, licences: dict[str, str] = LICENCES,
                    notices: dict[str, tuple[str, ...]] = NOTICES) -> DataFrame:
-    """(kind, digest, licence) of the given texts and notices; a digest that
-    several have belongs to the first in code point order."""
-    rows = [("text", k, v) for k, v in licences.items()]
+    """(kind, digest, licence, n) of the given texts in their published forms
+    (titles, wordings, enumerators), the texts in ``TEXTS`` and the notices; a
+    digest that several have belongs to the first in code point order."""
+    rows = [("form", k, v) for k, v in licences.items()]
+    rows += [("title", k, the + t) for k, ts in TITLES.items() for t in ts for the in ("", "The ")]
+    rows += [("text", k, v) for k, v in _texts()]
     rows += [("notice", k, v) for k, lines in notices.items() for v in lines]
-    known = spark.createDataFrame(rows, "kind string, licence string, text string")
-    known = known.select("kind", "licence", canonical(F.col("text")).alias("c"))
-    return known.groupBy("kind", F.sha2(F.col("c").cast("binary"), 256).alias("digest")).agg(
-        F.min("licence").alias("licence"), F.max(F.length("c")).alias("n"))
+    given = spark.createDataFrame(rows, "kind string, licence string, text string")
+    plain = given.select("kind", "licence", canonical(F.col("text")).alias("c")).collect()
+    made = {(r.kind, r.licence, r.c) for r in plain if r.kind in ("text", "notice")}
+    for r in plain:
+        if r.kind == "form":
+            titles = [t.c + " " for t in plain if (t.kind, t.licence) == ("title", r.licence)]
+            made |= {("text", r.licence, t + body)
+                     for t, body in product(["", *titles], _worded(r.licence, r.c))}
+    known: dict[tuple[str, str], tuple[str, int]] = {}
+    for kind, licence, c in sorted(made):
+        known.setdefault((kind, sha256(c.encode()).hexdigest()), (licence, len(c)))
+    return spark.createDataFrame([(*key, *value) for key, value in known.items()],
+                                 "kind string, digest string, licence string, n int")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -77,3 +77,31 @@ def test_licences(spark):
     got = {r.doc_id: (r.licence, r.n_notices, r.notices) for r in license_scan.scan(docs).collect()}
     assert got == {1: ("MIT", 0, ""), 2: ("MIT", 0, ""), 3: (None, 0, ""), 4: (None, 2, "Apache-2.0,MIT"),
                    5: (None, 0, ""), 6: (None, 0, "")}
+
+
+def test_licences_in_published_form(spark):
+    """Title, bullets, other parties and the longer licences' own texts."""
+    known = license_scan.LICENCES
+    owner = "Copyright (c) 2024, A. Person\n\n"
+    bullets = known["BSD-3-Clause"]
+    for k in "123":
+        bullets = bullets.replace(f"\n{k}. ", "\n* ")
+    regents = (known["BSD-3-Clause"].replace("COPYRIGHT HOLDERS AND", "REGENTS AND")
+               .replace("COPYRIGHT HOLDER OR", "REGENTS OR").replace("the copyright holder nor", "the University nor"))
+    apache = (license_scan.TEXTS / "Apache-2.0.txt").read_text()
+    texts = {
+        "MIT": ["MIT License\n\n" + owner + known["MIT"], "The MIT License (MIT)\n" + owner + known["MIT"]],
+        "ISC": ["ISC License\n\n" + owner + known["ISC"], "ISC Licence (ISC)\n" + known["ISC"].replace("and/or", "and")],
+        "0BSD": ["BSD Zero Clause License\n" + owner + known["0BSD"]],
+        "BSD-2-Clause": ['BSD 2-Clause "Simplified" License\n' + owner + known["BSD-2-Clause"]],
+        "BSD-3-Clause": ["BSD 3-Clause License\n\n" + owner + "All rights reserved.\n" + known["BSD-3-Clause"],
+                         owner + bullets, "New BSD License\n" + bullets, regents],
+        "Zlib": ["zlib License\n\n(C) 2024 A. Person\n" + known["Zlib"]],
+        "Apache-2.0": [apache, apache.split("   END OF TERMS")[0], apache.replace("[yyyy] [name of copyright owner]", "2024 Me")],
+        **{k: [(license_scan.TEXTS / f"{k}.txt").read_text()]
+           for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")},
+        None: ["MIT License", "ISC License\n" + known["MIT"], "BSD 3-Clause License\n" + known["BSD-2-Clause"]]}
+    rows = [(i, k, t) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in license_scan.scan(docs).collect()}
+    assert got == {i: k for i, k, _ in rows}
