@@ -61,3 +61,14 @@ def test_good_documents_score_lower(spark):
     out = lm.query(docs, labels).join(labels.where(lm.held_out(labels.doc_id)), "doc_id").toPandas()
     good, bad = (out[out.quality == q].score for q in (1, 0))
     assert (good.median() < bad.quantile(0.1)) and out.n_tokens.gt(0).all()
+
+
+def test_rare_words_are_words(spark):
+    """Words seen once among many others count for themselves."""
+    rows = [(1, "common " * 200_000), (2, "rare common"), (3, "scarce common"), (4, "rare"), (5, "scarce")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(2,)], "doc_id long")
+    got = {r.doc_id: tuple(r)[2:4] for r in lm.scored(docs, ids).collect()}
+    for d, _, *want in brute(rows, {2}, 0.0):
+        assert got[d] == pytest.approx(want, rel=1e-9)
+    assert got[4][0] < got[5][0]
