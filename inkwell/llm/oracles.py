@@ -239,3 +239,83 @@ cut AS (
   FROM edge JOIN d USING (rid) GROUP BY rid)
 SELECT doc_id, n AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256
 FROM d JOIN cut USING (rid)"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN_WORDS = f"regexp_extract_all({_LOWER.format('{}')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Every window of a document of a length that item windows have, joined with those.
+LEAK_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+    {_PLAIN_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+item AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_PLAIN_WORDS.format("coalesce(text, '')")} AS w,
+    least(len(w), 10) AS k FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM item WHERE k > 0)),
+word AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+run AS (SELECT r, i, list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w FROM word),
+pos AS (SELECT r, k, i, array_to_string(w[:k], ' ') AS s FROM run, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+hit AS MATERIALIZED (SELECT r, i, k, item FROM pos JOIN win USING (k, s)),
+n AS (SELECT r, count(DISTINCT j) AS n_hit
+    FROM (SELECT r, unnest(range(i, i + k)) AS j FROM (SELECT DISTINCT r, i, k FROM hit)) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)"""
+
+#: Every kept term stands in every group of its language.
+AUDIT_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT lang, source, sum(c.n)::HUGEINT AS total FROM c JOIN kept USING (lang, term) GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(total.total, 0) + l.v) AS p,
+    1 + 1000000000::HUGEINT * (kept.n + 1) // (l.total + l.v) AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (FROM pair UNION ALL FROM term))
+FROM ranked WHERE part = 'pair' OR rank <= 200"""
+
+#: CRC-32 of each distinct window, byte by byte; see _CRC for the table.
+RESAMPLE_SQL = f"""
+WITH {_CRC.strip()[:_CRC.strip().index("crc AS")].rstrip().rstrip(",")},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+texts AS (SELECT r, 0 AS t, {_PLAIN_WORDS.format("coalesce(text, '')")} AS w FROM d
+  UNION ALL SELECT -1, row_number() OVER (), {_PLAIN_WORDS.format("coalesce(text, '')")} FROM benchmark),
+word AS (SELECT r, t, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+run AS (SELECT r, list(word) OVER (PARTITION BY r, t ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS w FROM word),
+f AS MATERIALIZED (SELECT r, array_to_string(w[:k], ' ') AS feature, count(*) AS n
+  FROM run, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k GROUP BY ALL),
+b AS MATERIALIZED (SELECT feature, xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], list_transform(
+        regexp_extract_all(hex(encode(feature)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM f), crc_step),
+hist AS (SELECT bucket, coalesce(sum(n) FILTER (r >= 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (r < 0), 0)::DOUBLE AS t
+  FROM f JOIN b USING (feature) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain
+  FROM hist),
+w AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+  FROM f JOIN b USING (feature) JOIN gain USING (bucket) WHERE r >= 0 GROUP BY r),
+x AS (SELECT doc_id, r, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    ('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, 'null'))[1:8])::BIGINT AS h
+  FROM d LEFT JOIN w USING (r)),
+y AS (SELECT * EXCLUDE (h), weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score,
+    n_features >= 57 AS able FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+    count(*) OVER (PARTITION BY able) AS n FROM y)
+SELECT doc_id, n_features, weight, score, if(able AND place <= 5 * n // 100, place, NULL) AS rank FROM z"""

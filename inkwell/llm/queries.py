@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import (
     bpe,
+    decontaminate,
     license_scan,
     lm_score,
     mixing,
@@ -15,8 +16,10 @@ from inkwell.llm import (
     oracles,
     quality_mil,
     quality_rules,
+    resample,
     sharding,
     simhash_dedup,
+    source_audit,
     suffix_dedup,
 )
 
@@ -42,6 +45,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_mil": lambda spark, sf_dir: quality_mil.query(
         spark.read.parquet(f"{sf_dir}/documents.parquet"),
         spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op11_decontaminate": lambda spark, sf_dir: decontaminate.query(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"),
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+    "op12_source_audit": _on_documents(source_audit.query),
+    "op13_resample": lambda spark, sf_dir: resample.query(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"),
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
 }
 
 ORACLES: dict[str, str] = {
@@ -51,4 +61,7 @@ ORACLES: dict[str, str] = {
     "op4_suffix_dedup": oracles.SUFFIX_SQL,
     "op5_mix_sources": oracles.MIX_SQL,
     "op9_multiset_hash": oracles.fingerprint_sql(),
+    "op11_decontaminate": oracles.LEAK_SQL,
+    "op12_source_audit": oracles.AUDIT_SQL,
+    "op13_resample": oracles.RESAMPLE_SQL,
 }

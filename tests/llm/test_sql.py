@@ -18,6 +18,8 @@ ODD = [
     (12, "Released under the MIT licence.\nCopyright (c) 2020 Somebody\n* Licensed under CC BY-NC 4.0", "en", "b"),
     *((20 + i, f"unit {i} of and the to in is that it for on " * 12, "en", "d") for i in range(12)),
 ]
+ITEMS = [(1, "and the to in is that it for on unit 3 of and"), (1, "cat sat"), (2, None), (3, " .. "), (None, "漢字"),
+         (4, CLEAN), (5, "É 😀"), (5, "É 😀"), (6, "word1 the of 1 word2 the of 2 word3 the of 3")]
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -32,7 +34,10 @@ def test_odd_rows(spark, duck, same, tmp_path, name, rows):
     # Names that the operators use inside clash with extra columns.
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", size int, row_number string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.createDataFrame([(*r, 1) for r in ITEMS if rows], "item_id long, text string, item int")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
     got = QUERIES[name](spark, str(tmp_path)).toPandas()
     frame = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"])
     frame = frame.astype({"doc_id": "Int64", "text": "string", "lang": "string", "source": "string"})
-    same(got, duck(ORACLES[name], documents=frame))
+    bench = items.toPandas().astype({"item_id": "Int64", "text": "string"})
+    same(got, duck(ORACLES[name], documents=frame, benchmark=bench))
