@@ -166,35 +166,62 @@ register("dq_report", build("\nUNION ALL\n".join(_report_sql(t) for t in RAW_TAB
 FIRST_LOAD_END = "2001-07-01"
 CHANGED_DAY = "2001-06-30"
 LATE_DAY = "2001-01-15"
+MOVED = ("2001-03-05", "2001-03-20")  # sales of these days move on by MOVED_BY days
+MOVED_BY = 60
+NULL_KEYS = ("2001-05-01", "2001-05-31")  # sales of every tenth book lose their id
 FIRST_LOAD = "2001-07-01 00:00:00"
+REPEATED_LOAD = "2001-07-15 00:00:00"
 SECOND_LOAD = "2001-08-01 00:00:00"
 
 
 def _incremental(m):
     """Two loads of the fact table: the first takes the sales before
     FIRST_LOAD_END except those of LATE_DAY; the second brings the rest, the
-    late ones included, and CHANGED_DAY again with other quantities."""
-    day = lambda d: F.col("sale_date") == F.lit(d).cast("date")
+    late ones included, CHANGED_DAY twice again with other quantities, MOVED
+    with dates in other months, and the sales without id again."""
+    date = lambda d: F.lit(d).cast("date")
+    day = lambda d: F.col("sale_date") == date(d)
+    no_key = F.col("sale_date").between(*map(date, NULL_KEYS)) & (F.col("book_id") % 10 == 0)
+    source = m.fact_sales.withColumn(
+        "transaction_id", F.when(no_key, F.lit(None)).otherwise(F.col("transaction_id")))
     # The facts of a run with this load stamp (as ``Models(run_ts=...)`` gives them).
-    facts = lambda ts: m.fact_sales.withColumn(
+    facts = lambda ts: source.withColumn(
         incremental.LOAD_STAMP, F.lit(ts).cast("timestamp_ntz"))
-    early = (F.col("sale_date") < F.lit(FIRST_LOAD_END).cast("date")) & ~day(LATE_DAY)
+    early = (F.col("sale_date") < date(FIRST_LOAD_END)) & ~day(LATE_DAY)
     path = scratch_dir(m.spark, f"fact-incremental-{uuid.uuid4().hex}")
     incremental.write_upsert(m.spark, path, facts(FIRST_LOAD).where(early))
-    batch = facts(SECOND_LOAD).where(~early | day(CHANGED_DAY)).withColumn(
-        "quantity", F.when(day(CHANGED_DAY), F.col("quantity") + 1).otherwise(F.col("quantity")))
-    return incremental.write_upsert(m.spark, path, batch)
-
-
-_plain = ("transaction_id, book_id, sale_date, unit_price, discount_percent, total_amount, channel, "
-          "customer_type, region, sale_year, sale_month, day_of_week, publisher_id, genre, format, "
-          "price_category, length_category, created_at")
-# Both loads in one statement: a sale stands as its last load left it.
+    moved = F.col("sale_date").between(*map(date, MOVED))
+    batch = facts(SECOND_LOAD).where(~early | day(CHANGED_DAY) | moved | no_key)
+    batch = batch.withColumn("quantity", F.col("quantity") + F.when(day(CHANGED_DAY), 1).otherwise(0))
+    batch = batch.withColumn("sale_date", F.when(moved, F.date_add("sale_date", MOVED_BY)).otherwise(
+        F.col("sale_date")))
+    batch = (batch.withColumn("sale_year", F.year("sale_date")).withColumn("sale_month", F.month("sale_date"))
+             .withColumn("day_of_week", (F.dayofweek("sale_date") - 1).cast("int")))
+    again = facts(REPEATED_LOAD).where(day(CHANGED_DAY)).withColumn("quantity", F.col("quantity") + 5)
+    return incremental.write_upsert(m.spark, path, batch.unionByName(again))
+
+
+_order = ("book_id, sale_date, quantity, unit_price, discount_percent, total_amount, channel, customer_type, "
+          "region")
+# Both loads in one statement: a sale stands as its last load left it, one sale without id is left.
 register("fact_sales_incremental", build(f"""
-SELECT {_plain}, quantity + CASE WHEN sale_date = DATE '{CHANGED_DAY}' THEN 1 ELSE 0 END AS quantity,
-  CASE WHEN sale_date < DATE '{FIRST_LOAD_END}' AND sale_date NOT IN (DATE '{LATE_DAY}', DATE '{CHANGED_DAY}')
-       THEN TIMESTAMP '{FIRST_LOAD}' ELSE TIMESTAMP '{SECOND_LOAD}' END AS dbt_updated_at
-FROM fact_sales""", "fact_sales"))(_incremental)
+WITH s AS (SELECT * REPLACE (
+    if(sale_date BETWEEN DATE '{NULL_KEYS[0]}' AND DATE '{NULL_KEYS[1]}' AND book_id % 10 = 0, NULL, transaction_id)
+      AS transaction_id,
+    quantity + if(sale_date = DATE '{CHANGED_DAY}', 1, 0) AS quantity,
+    sale_date + if(sale_date BETWEEN DATE '{MOVED[0]}' AND DATE '{MOVED[1]}', {MOVED_BY}, 0) AS sale_date),
+  if(transaction_id IS NOT NULL AND sale_date < DATE '{FIRST_LOAD_END}'
+     AND sale_date NOT IN (DATE '{LATE_DAY}', DATE '{CHANGED_DAY}')
+     AND sale_date NOT BETWEEN DATE '{MOVED[0]}' AND DATE '{MOVED[1]}'
+     AND NOT (sale_date BETWEEN DATE '{NULL_KEYS[0]}' AND DATE '{NULL_KEYS[1]}' AND book_id % 10 = 0),
+     TIMESTAMP '{FIRST_LOAD}', TIMESTAMP '{SECOND_LOAD}') AS dbt_updated_at
+  FROM fact_sales)
+SELECT * REPLACE (CAST(year(sale_date) AS INTEGER) AS sale_year, CAST(month(sale_date) AS INTEGER) AS sale_month,
+  CAST(dayofweek(sale_date) AS INTEGER) AS day_of_week)
+FROM (FROM s WHERE transaction_id IS NOT NULL
+      UNION ALL (FROM s WHERE transaction_id IS NULL
+                 ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _order.split(', '))} LIMIT 1))""",
+    "fact_sales"))(_incremental)
 
 # -- table access ---------------------------------------------------------------
 register("scan_table", "SELECT * FROM part")(
