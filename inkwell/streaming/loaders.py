@@ -39,6 +39,9 @@ def land_in_time_order(df: DataFrame, ts: str, folder: str, slices: int = 4) ->
     they do when data lands over time)."""
     t = F.unix_micros(F.col(ts).cast("timestamp"))
     bounds = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    if bounds["lo"] is None:  # no rows, or none with a time: one arrival
+        df.write.mode("append").parquet(folder)
+        return folder
     lo, hi = int(bounds["lo"]), int(bounds["hi"])
     step = max(1, (hi - lo) // slices + 1)
     for i in range(slices):
@@ -58,15 +61,19 @@ def land_files(df: DataFrame, folder: str) -> str:
 
 
 def fact_sales_stream(spark: SparkSession, landing: str, dim_books: DataFrame, target: str,
-                      checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
+                      checkpoint: str, files_per_batch: int | None = None,
+                      version: str | None = "created_at") -> DataFrame:
     """Load every landed raw-sales file into the fact table; returns it. A run
-    takes as long as what has landed needs."""
+    takes as long as what has landed needs. A sale that arrives again replaces
+    the stored one unless its ``version`` is lower, so that corrections,
+    replays and arrivals out of order leave its latest version."""
     books = dim_books.select("book_id", "publisher_id", "genre", "format", "price_category",
                              "length_category")
 
     def load(batch: DataFrame, epoch_id: int) -> None:
         facts = marts.fact_sales(staging.stg_sales(batch), books)
-        incremental.write_upsert(batch.sparkSession, target, facts, key="transaction_id", mark=None)
+        incremental.write_upsert(batch.sparkSession, target, facts, key="transaction_id", mark=None,
+                                 version=version)
 
     stream = _arrivals(spark, RAW_SALES, files_per_batch).parquet(landing)
     q = (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
