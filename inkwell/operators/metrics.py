@@ -100,8 +100,10 @@ def log_metrics(rows: DataFrame, path: str) -> DataFrame:
 
 
 def latest_metrics(log: DataFrame) -> DataFrame:
-    """Newest value of every (model, metric)."""
-    w = Window.partitionBy("model_name", "metric").orderBy(F.col("ts").desc())
+    """Newest value of every (model, metric); of values with one time the
+    greatest, then the one with the greatest metadata."""
+    ties = [F.col(c).desc_nulls_last() for c in ("value", "metadata") if c in log.columns]
+    w = Window.partitionBy("model_name", "metric").orderBy(F.col("ts").desc_nulls_last(), *ties)
     return log.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
