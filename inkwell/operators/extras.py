@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions.columns import UNIT, as_of_lit, exact_avg, exact_sum
+from inkwell.operators import user_items
 from inkwell.operators.keys import dense_ids, group_positions
 from inkwell.operators.recommend import _since, check_n
 from inkwell.operators.similarity import _with_one_row
@@ -118,14 +119,11 @@ def time_series_rows(daily: DataFrame, n_folds: int = 5) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 
-# Users up to this count are broadcast when all items are scored for them.
-BROADCAST_USERS = 10_000
-
-
-def als_scores(interactions: DataFrame, rank: int = 50, seed: int = 42, max_iter: int = 10) -> DataFrame:
-    """(user_id, book_id, score) of every user and unowned item by
-    implicit-feedback ALS (rank 50) on (user, book, units). Users and items may
-    have ids of any size: the model sees dense numbers."""
+def als_factors(interactions: DataFrame, rank: int = 50, seed: int = 42,
+                max_iter: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(user_id, vec) and (book_id, vec) of implicit-feedback ALS (rank 50) on
+    (user, book, units). Users and items may have ids of any kind: the model
+    sees dense numbers. Its ids are 32-bit; more users or items are an error."""
     users = dense_ids(interactions, "user_id", "u")
     items = dense_ids(interactions, "book_id", "i")
     data = (interactions.select("user_id", "book_id", F.col("rating").cast("float").alias("r"))
@@ -133,25 +131,22 @@ def als_scores(interactions: DataFrame, rank: int = 50, seed: int = 42, max_iter
             .select(F.col("u").cast("int").alias("u"), F.col("i").cast("int").alias("i"), "r"))
     model = ALS(rank=rank, implicitPrefs=True, seed=seed, maxIter=max_iter, userCol="u", itemCol="i",
                 ratingCol="r", coldStartStrategy="drop").fit(data)
-    uf = model.userFactors.select(F.col("id").alias("u"), F.col("features").alias("fu")).join(users, "u")
-    itf = model.itemFactors.select(F.col("id").alias("i"), F.col("features").alias("fi")).join(items, "i")
-    # The result has a row for each user and item: users are counted, and few
-    # (the customer types) are sent to the items.
-    if users.limit(BROADCAST_USERS + 1).count() <= BROADCAST_USERS:
-        uf = F.broadcast(uf)
-    dot = F.aggregate(F.zip_with("fu", "fi", lambda a, b: a.cast("double") * b.cast("double")),
-                      F.lit(0.0), lambda acc, x: acc + x)
-    flat = itf.crossJoin(uf).select("user_id", "book_id", dot.alias("score"))
-    return flat.join(interactions.select("user_id", "book_id"), ["user_id", "book_id"], "left_anti")
+    vec = F.col("features").cast("array<double>").alias("vec")
+    return (model.userFactors.select(F.col("id").alias("u"), vec).join(users, "u").select("user_id", "vec"),
+            model.itemFactors.select(F.col("id").alias("i"), vec).join(items, "i").select("book_id", "vec"))
+
+
+def als_scores(interactions: DataFrame, rank: int = 50, seed: int = 42, max_iter: int = 10) -> DataFrame:
+    """(user_id, book_id, score) of every user and unowned item (see ``als_factors``)."""
+    return user_items.inner_products(*als_factors(interactions, rank, seed, max_iter), interactions)
 
 
 def als_recommendations(interactions: DataFrame, n: int = 10, rank: int = 50, seed: int = 42,
                         max_iter: int = 10) -> DataFrame:
-    """The n best unowned items of each user by ``als_scores``."""
+    """The n best unowned items of each user by ``als_scores``, without scoring
+    the items that cannot be among them."""
     check_n(n)
-    w = Window.partitionBy("user_id").orderBy(F.col("score").desc(), "book_id")
-    scores = als_scores(interactions, rank, seed, max_iter)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return user_items.inner_product_topk(*als_factors(interactions, rank, seed, max_iter), interactions, n)
 
 
 def hybrid_recommendations(content: DataFrame, collaborative: DataFrame, n: int = 10,

@@ -13,8 +13,7 @@ the centres less the radii allows that score. Items are sent once to each
 needed pair, so one ``applyInPandas`` group holds two blocks (memory bounded
 by the block size, not by the catalogue); it computes the dense product with
 NumPy and emits only each row's k best partners. How many pairs remain
-depends on how the items cluster. User recommendations sum over all items
-a user owns, so they need all block pairs (blocks by hash).
+depends on how the items cluster.
 """
 
 from __future__ import annotations
@@ -276,70 +275,3 @@ def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFA
     if min_similarity is not None:
         cand = cand.where(F.col("similarity_score") >= min_similarity)
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-# ---------------------------------------------------------------------------
-# User scores: sum_j sim(i,j) r(u,j) / sum_j |sim(i,j)| over the user's items
-# ---------------------------------------------------------------------------
-
-
-def _pair_user_sums(n_users: int):
-    def sums(ids, s, ratings):
-        """rows of (book_id, user, num, den) for each row id of s."""
-        owned = (ratings > 0).astype(np.float64)
-        num = s @ ratings
-        den = np.abs(s) @ owned
-        out = pd.DataFrame({
-            "book_id": np.repeat(ids, n_users),
-            "user_idx": np.tile(np.arange(n_users, dtype=np.int32), len(ids)),
-            "num": num.reshape(-1), "den": den.reshape(-1)})
-        return out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lp = pdf[pdf["role"] == "L"].sort_values("book_id", kind="stable")
-        rp = pdf[pdf["role"] == "R"].sort_values("book_id", kind="stable")
-        if not len(lp) or not len(rp):
-            return pd.DataFrame({"book_id": [], "user_idx": [], "num": [], "den": []}).astype(
-                {"book_id": "int64", "user_idx": "int32", "num": "float64", "den": "float64"})
-        l, r = np.vstack(lp["vec"].to_numpy()), np.vstack(rp["vec"].to_numpy())
-        rl, rr = np.vstack(lp["ratings"].to_numpy()), np.vstack(rp["ratings"].to_numpy())
-        s = l @ r.T
-        parts = [sums(lp["book_id"].to_numpy(np.int64), s, rr)]
-        if pdf["pi"].iat[0] != pdf["pj"].iat[0]:
-            parts.append(sums(rp["book_id"].to_numpy(np.int64), s.T, rl))
-        return pd.concat(parts, ignore_index=True)
-    return run
-
-
-def user_scores(vectors: DataFrame, interactions: DataFrame, users: list[str],
-                block_size: int = DEFAULT_BLOCK, blocks: int | None = None) -> DataFrame:
-    """(user_id, book_id, score) of every item a user does not own, by
-    similarity-weighted rating; items with no similar owned item (all
-    weights 0) get no score, as in the source. ``users`` is the user domain
-    (customer types), so ratings travel as a dense array per item."""
-    per_item = interactions.groupBy("book_id").agg(
-        *[F.coalesce(F.sum(F.when(F.col("user_id") == u, F.col("rating").cast("double"))), F.lit(0.0))
-          .alias(f"r{i}") for i, u in enumerate(users)])
-    per_item = per_item.select("book_id", F.array(*[f"r{i}" for i in range(len(users))]).alias("ratings"))
-    # candidates and owned items are interaction items
-    vec = vectors.join(per_item, "book_id").checkpoint()
-    if blocks is None:
-        blocks = n_blocks(vec.count(), block_size)
-    pairs = _spread_pairs(_block_pairs(vec, blocks, extra=("ratings",)), blocks)
-    sums = pairs.groupBy("g").applyInPandas(
-        _pair_user_sums(len(users)), "book_id long, user_idx int, num double, den double")
-    tot = sums.groupBy("book_id", "user_idx").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    user_of = F.create_map(*[x for i, u in enumerate(users) for x in (F.lit(i), F.lit(u))])
-    tot = tot.select("book_id", user_of[F.col("user_idx")].alias("user_id"), "num", "den")
-    owned = interactions.select("user_id", "book_id")
-    cand = tot.join(owned, ["user_id", "book_id"], "left_anti").where(F.col("den") > 0)
-    return cand.select("user_id", "book_id", (F.col("num") / F.col("den")).alias("score"))
-
-
-def user_recommendations(vectors: DataFrame, interactions: DataFrame, users: list[str],
-                         n: int = 10, block_size: int = DEFAULT_BLOCK,
-                         blocks: int | None = None) -> DataFrame:
-    """(user_id, book_id, score, rank): the n best of ``user_scores``."""
-    scored = user_scores(vectors, interactions, users, block_size, blocks)
-    w = Window.partitionBy("user_id").orderBy(F.round("score", 9).desc(), "book_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

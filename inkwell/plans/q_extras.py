@@ -11,6 +11,7 @@ from inkwell.operators import features as FE
 from inkwell.operators import recommend as R
 from inkwell.operators import retrieval as RT
 from inkwell.operators import similarity as S
+from inkwell.operators import user_items as UI
 from inkwell.plans import q_recommend as QR
 from inkwell.plans.oracle import AS_OF, build
 from inkwell.plans.registry import register
@@ -80,7 +81,7 @@ def _fallback(m):
     inter = QR.interactions(m)
     users = m.fact_sales.select(F.col("customer_type").alias("user_id")).distinct().withColumn(
         "user_type", F.col("user_id"))
-    personal = S.user_recommendations(QR.vectors(m), inter, QR.users_of(inter), n=10)
+    personal = UI.user_recommendations(QR.vectors(m), inter, n=10)
     pop = QR.popular(m)
     by_type = R.popular_by_user_type(m.dim_books, m.fact_sales, m.as_of, popular=pop)
     return X.recommend_with_fallback(users, personal, by_type, pop, 10)
@@ -135,7 +136,7 @@ def _als(m):
 
 def _hybrid(m):
     inter = QR.interactions(m)
-    content = S.user_scores(QR.vectors(m), inter, QR.users_of(inter))
+    content = UI.user_scores(QR.vectors(m), inter)
     return X.hybrid_recommendations(content, X.als_scores(inter), n=10)
 
 

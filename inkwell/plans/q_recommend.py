@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import recommend as R
 from inkwell.operators import similarity as S
+from inkwell.operators import user_items as UI
 from inkwell.plans.oracle import AS_OF, build, cte
 from inkwell.plans.registry import register
 
@@ -30,10 +31,6 @@ def popular(m):
     return R.popular_items(m.dim_books, m.fact_sales, m.as_of)
 
 
-def users_of(df) -> list[str]:
-    return [r[0] for r in df.select("user_id").distinct().orderBy("user_id").collect()]
-
-
 cte("user_item_interactions", f"""
 SELECT customer_type AS user_id, book_id, CAST(SUM(quantity) AS BIGINT) AS rating,
   COUNT(*) AS interaction_count,
@@ -174,7 +171,7 @@ WHERE d.book_id NOT IN (SELECT book_id FROM item_vec)""",
 
 def _user_recs(m):
     inter = interactions(m)
-    return S.user_recommendations(vectors(m), inter, users_of(inter), n=10)
+    return UI.user_recommendations(vectors(m), inter, n=10)
 
 
 cte("user_recommendations", """

@@ -298,16 +298,16 @@ def test_exact_metrics_do_not_overflow(spark):
 
 
 def test_several_blocks_equal_one(spark):
-    from inkwell.operators import similarity as S
+    from inkwell.operators import similarity as S, user_items as UI
     from inkwell.plans import q_recommend as QR
     from inkwell.plans.models import Models
     m = Models(spark, SF_SMALL)
     vectors, inter = QR.vectors(m), QR.interactions(m)
     rows = lambda df: sorted((r[0], r[1], round(r[2], 9), r[3]) for r in df.collect())
     assert rows(S.item_similarity_topk(vectors, 10, blocks=3)) == rows(S.item_similarity_topk(vectors, 10, blocks=1))
-    users = QR.users_of(inter)
-    assert rows(S.user_recommendations(vectors, inter, users, blocks=3)) == rows(
-        S.user_recommendations(vectors, inter, users, blocks=1))
+    want = rows(UI.user_recommendations(vectors, inter, blocks=1))
+    for heavy in (0, 10_000, 330):  # all in pieces, all in chunks, both
+        assert rows(UI.user_recommendations(vectors, inter, blocks=3, heavy=heavy)) == want
 
 
 def test_neighbour_blocks_skip_pairs_and_stay_exact(spark):
