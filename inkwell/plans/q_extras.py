@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkwell.operators import extras as X
 from inkwell.operators import features as FE
+from inkwell.operators import hybrid as HY
 from inkwell.operators import recommend as R
 from inkwell.operators import retrieval as RT
 from inkwell.operators import similarity as S
@@ -158,7 +159,7 @@ WHERE rank <= 5"""))(lambda m: S.item_similarity_topk(X.embedding_vectors(m.sour
 # BM25 half of the retrieval settings: benchmark texts are the queries,
 # documents the corpus (Okapi k1 = 1.5, b = 0.75, epsilon = 0.25).
 _TOK = r"list_filter(regexp_split_to_array(lower(COALESCE({c}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-register("bm25_topk", build(f"""
+_BM25 = f"""
 WITH d AS (SELECT doc_id, {_TOK.format(c='text')} AS toks FROM documents),
 st AS (SELECT COUNT(*) AS n, AVG(len(toks)) AS avgdl FROM d),
 tf AS (SELECT doc_id, term, MAX(dl) AS dl, COUNT(*) AS tf
@@ -171,7 +172,31 @@ q AS (SELECT item_id, term, COUNT(*) AS qtf
 s AS (SELECT q.item_id, tf.doc_id,
         SUM(q.qtf * idf.idf * (tf.tf * 2.5 / (tf.tf + 1.5 * (0.25 + 0.75 * tf.dl / st.avgdl)))) AS bm25_score
       FROM q JOIN idf ON q.term = idf.term JOIN tf ON tf.term = q.term, st
-      GROUP BY q.item_id, tf.doc_id)
+      GROUP BY q.item_id, tf.doc_id)"""
+register("bm25_topk", build(f"""{_BM25}
 SELECT item_id, doc_id, bm25_score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS rank FROM s) r
 WHERE rank <= 5"""))(lambda m: RT.bm25_topk(m.source("benchmark"), m.source("documents"), k=5))
+
+# Both halves blended; vectors are tf-idf weights folded into 64 signed dimensions.
+_FOLD = """SELECT {id} AS id, ('0x' || md5(term)[1:4])::BIGINT % 64 AS dim,
+    sum(if(md5(term)[5] < '8', 1.0::DOUBLE, -1.0::DOUBLE) * {tf} * rarity) AS w
+  FROM {rows} JOIN rare USING (term) GROUP BY ALL"""
+register("hybrid_retrieval", build(f"""{_BM25},
+rare AS (SELECT term, ln(1 + n / df::DOUBLE) AS rarity FROM df, st),
+dv AS ({_FOLD.format(id='doc_id', tf='tf', rows='tf')}),
+qv AS ({_FOLD.format(id='item_id', tf='qtf', rows='q')}),
+dn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM dv GROUP BY id),
+qn AS (SELECT id, sqrt(sum(w * w)) AS norm FROM qv GROUP BY id),
+dot AS (SELECT q.id AS item_id, d.id AS doc_id, sum(q.w * d.w) AS dot FROM qv q JOIN dv d USING (dim) GROUP BY ALL),
+cosine AS (SELECT dot.item_id, dot.doc_id, CASE WHEN qn.norm * dn.norm > 0 THEN dot / qn.norm / dn.norm ELSE 0 END AS cosine
+  FROM dot JOIN qn ON qn.id = item_id JOIN dn ON dn.id = doc_id),
+best AS (SELECT item_id, max(bm25_score) AS top FROM s GROUP BY item_id),
+blend AS (SELECT qn.id AS item_id, d.doc_id, coalesce(bm25_score, 0) AS bm25_score, coalesce(cosine, 0) AS cosine,
+    0.6::DOUBLE * if(top > 0, coalesce(bm25_score, 0) / top, 0) + 0.4::DOUBLE * coalesce(cosine, 0) AS score
+  FROM qn CROSS JOIN d LEFT JOIN best ON best.item_id = qn.id
+  LEFT JOIN s ON s.item_id = qn.id AND s.doc_id = d.doc_id
+  LEFT JOIN cosine c ON c.item_id = qn.id AND c.doc_id = d.doc_id)
+SELECT item_id, doc_id, score, bm25_score, cosine, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM blend) r
+WHERE rank <= 5"""))(lambda m: HY.hybrid_topk(m.source("benchmark"), m.source("documents"), k=5))
