@@ -32,8 +32,6 @@ from inkwell.llm.quality_mil import held_out
 #: A word is in the vocabulary if it makes up this share of all words or more;
 #: the others are one token. No word is too rare.
 WORD_SHARE = 0.0
-#: Longer words (bytes) are never in the vocabulary.
-LONG_WORD = 64
 #: Weight of the unigrams, in counts of the context.
 SMOOTHING = 50.0
 #: Ids of the unknown word, the start and the end of a text; digests of words follow.
@@ -50,7 +48,7 @@ class Digests(dict):
     """Digest of each word, made when first asked for."""
 
     def __missing__(self, word: bytes) -> int:
-        made = max(END + 1, xxhash.xxh64_intdigest(word, SEED)) if len(word) <= LONG_WORD else UNKNOWN
+        made = max(END + 1, xxhash.xxh64_intdigest(word, SEED))
         self[word] = made
         return made
 

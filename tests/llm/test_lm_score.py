@@ -15,7 +15,7 @@ def brute(rows, target, share):
     words = [lm.tokens((t or "").encode()) for _, t in rows]
     good = [d is not None and d in target for d, _ in rows]
     every = Counter(w for x in words for w in x)
-    known = {w for w, n in every.items() if n >= share * sum(every.values()) and len(w) <= 64}
+    known = {w for w, n in every.items() if n >= share * sum(every.values())}
     texts = [[None] + [w if w in known else "?" for w in x] + ["end"] for x in words]
 
     def model(chosen):
@@ -50,7 +50,7 @@ def test_documents(spark):
 def test_edge_cases(spark):
     long = "the of and " * 30_000
     check(spark, [(1, None), (2, ""), (2, " \n"), (None, "a b a b"), (3, "A b a"), (3, "A b a"),
-                  (4, long), (5, "x" * 100 + " a")], [2, 3, 3, 99], 0.0)
+                  (4, long), (5, "x" * 100 + " a"), (6, "a" * 65), (7, "b" * 65), (8, "c" * 100_000 + " b")], [2, 3, 3, 6, 99], 0.0)
     check(spark, [(1, "a b"), (2, "b")], [])
     check(spark, [], [1])
 
@@ -72,3 +72,17 @@ def test_rare_words_are_words(spark):
     for d, _, *want in brute(rows, {2}, 0.0):
         assert got[d] == pytest.approx(want, rel=1e-9)
     assert got[4][0] < got[5][0]
+
+
+def test_long_words_are_words(spark):
+    rows = [(1, "a" * 65), (2, "b" * 65), (3, "common")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[2:4] for r in lm.scored(docs, docs.where("doc_id = 1").select("doc_id")).collect()}
+    assert got[1][0] < got[2][0] and got[1][1] == got[2][1]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (2, "b", 6, "y")], "doc_id long, text string, _chunk int, code string")
+    ids = spark.createDataFrame([(1,)], "doc_id long")
+    got = {tuple(r)[:5] for r in lm.scored(docs, ids).collect()}
+    assert got == {tuple(r)[:5] for r in lm.scored(docs.select("doc_id", "text"), ids).collect()}
