@@ -122,8 +122,22 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # ------------------------------------------------------------------------ links
-def _variant_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a large bucket without its pairs (``bits`` 2): fingerprints
+def _flip_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large bucket for one bit: each flip of a fingerprint is looked
+    up among the others."""
+    order = np.argsort(fps, kind="stable")
+    ranked = fps[order]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for flip in np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)):
+        at = np.minimum(np.searchsorted(ranked, fps ^ flip), len(fps) - 1)
+        own = np.flatnonzero(ranked[at] == fps ^ flip)
+        left.append(own)
+        right.append(order[at[own]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _variant_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a large bucket without its pairs, for two bits: fingerprints
     within two bits have a common variant at most one flip from each, and any
     two that share a variant are within two bits."""
     flips = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))])
@@ -179,7 +193,7 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarra
         right.append(f[:-d][hit])
     for at, size in zip(size_at[:-1][sizes > PAIRWISE], sizes[sizes > PAIRWISE]):
         f = fps[at:at + size]
-        a, b = _variant_links(f, bits)
+        a, b = _flip_links(f) if bits == 1 else _variant_links(f)
         ok = _close(f[a], f[b], bits)
         left.append(f[a[ok]])
         right.append(f[b[ok]])

@@ -95,3 +95,24 @@ def test_edge_cases(spark):
     assert [tuple(r) for r in kept] == [(2, "x y z", "l")]
     with pytest.raises(ValueError):
         sd.links(docs, 3)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_large_buckets_lose_no_link(bits):
+    """Random buckets beyond the pairwise size, many near each other."""
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n = int(rng.integers(sd.PAIRWISE + 1, 80))
+        fps = np.unique(rng.integers(0, 1 << 7, n, dtype=np.uint64) << np.uint64(int(rng.integers(0, 57))))
+        u, v = sd.bucket_links(np.zeros(len(fps), np.int64), fps, bits)
+        got = {int(x): int(x) for x in fps}
+
+        def root(x):
+            while got[x] != x:
+                x = got[x]
+            return x
+        for a, b in zip(u.tolist(), v.tolist()):
+            got[root(a)] = root(b)
+        want = {d: c for d, _, c in brute_components([(int(x), int(x)) for x in fps], bits)}
+        assert {frozenset(x for x in want if want[x] == c) for c in want.values()} == {
+            frozenset(x for x in got if root(x) == c) for c in map(root, got)}
