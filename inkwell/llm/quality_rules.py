@@ -26,7 +26,7 @@ MIN_WORDS, MAX_REPEATED = 50, 50
 JUDGED_WORDS = 75
 #: Largest distances; a document beyond both is rejected.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.18, 0.25
-#: A language with fewer eligible documents is compared with all languages.
+#: Default least number of eligible documents from which a language has a reference of its own.
 MIN_REFERENCE = 8
 SCALE = 1_000_000
 
@@ -120,9 +120,10 @@ def _means(column: str, size: int) -> list[Column]:
             for i in range(size)]
 
 
-def _references(rows: DataFrame, **columns: int) -> DataFrame:
-    """(lang, and for each of ``columns`` ref_ and all_ arrays): the sums of each
-    language (of all where it has too few rows) and those of all languages."""
+def _references(rows: DataFrame, least: int, **columns: int) -> DataFrame:
+    """(lang, reference, and for each of ``columns`` ref_ and all_ arrays): the sums
+    of each language (of all where it has fewer than ``least`` rows; ``reference``
+    says which) and those of all languages."""
     sums = [m for c, size in columns.items() for m in _means(c, size)]
     per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums)
     arrays = [F.array(*[f"{c}{i}" for i in range(size)]).alias(f"ref_{c}")
@@ -133,7 +134,8 @@ def _references(rows: DataFrame, **columns: int) -> DataFrame:
     per = per.select("lang", "n", *arrays)
     return per.crossJoin(F.broadcast(pool)).select(  # the pool is one row
         F.col("lang").alias("_lang"), *[f"all_{c}" for c in columns],
-        *[F.when(F.col("n") >= MIN_REFERENCE, F.col(f"ref_{c}")).otherwise(F.col(f"all_{c}"))
+        F.when(F.col("n") >= least, F.lit("language")).otherwise(F.lit("all")).alias("reference"),
+        *[F.when(F.col("n") >= least, F.col(f"ref_{c}")).otherwise(F.col(f"all_{c}"))
           .alias(f"ref_{c}") for c in columns])
 
 
@@ -143,8 +145,11 @@ def _with_references(rows: DataFrame, references: DataFrame) -> DataFrame:
     return out.drop("_lang")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """Every document with its counts, ``base_failed`` and ``kept``.
+def judged(docs: DataFrame, min_reference: int = MIN_REFERENCE) -> DataFrame:
+    """Every document with its counts, ``base_failed``, ``kept`` and ``reference``:
+    'language' if its language has ``min_reference`` eligible documents to be
+    compared with, 'all' if it has fewer (the texts of all languages then stand
+    in), null if it has none.
 
     Null and empty texts have no words and fail the base rules. A null language
     is a language. A language none of whose documents is eligible has no
@@ -153,15 +158,15 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     rows = stored(features(docs), "rules-features")
     able = rows.where(~F.col("base_failed") & (F.col("n_words") >= JUDGED_WORDS))
-    first = _with_references(able, _references(able, classes=len(CLASSES) + 1))
+    first = _with_references(able, _references(able, min_reference, classes=len(CLASSES) + 1))
     first = first.withColumn("far", F.floor(distance(F.col("classes"), F.col("ref_classes")) * SCALE))
-    first = stored(first.drop("ref_classes", "all_classes"), "rules-first")
+    first = stored(first.drop("ref_classes", "all_classes", "reference"), "rules-first")
     mean = first.groupBy(F.col("lang").alias("_lang")).agg(
         F.sum("far").alias("far_sum"), F.count(F.lit(1)).alias("far_n"))
     near = join_counted(first, mean, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
     near = near.where(F.col("far") * F.col("far_n") <= F.col("far_sum"))
     sizes = {"classes": len(CLASSES) + 1, "common": len(COMMON_WORDS) + 1}
-    out = _with_references(rows, stored(_references(near, **sizes), "rules-references"))
+    out = _with_references(rows, stored(_references(near, min_reference, **sizes), "rules-references"))
     nearest = lambda c: F.least(distance(F.col(c), F.col(f"ref_{c}")),
                                 distance(F.col(c), F.col(f"all_{c}")))
     off = (nearest("classes") > MAX_CLASS_DISTANCE) & (nearest("common") > MAX_WORD_DISTANCE)

@@ -17,6 +17,15 @@ def test_rules_keep_good_documents(spark):
     assert out[out.quality == 0].kept.mean() < 0.15
 
 
+def test_rules_name_the_reference(spark):
+    text = " ".join(f"the {w}{v}" for w in "cat dog mat hat pan fox".split() for v in "abcdefgh")
+    rows = [(i, text + str(i), "en") for i in range(9)] + [(20 + i, text + str(i), "xx") for i in range(3)] + [(30, "a b", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    used = lambda **o: {r.lang: r.reference for r in quality_rules.judged(docs, **o).collect()}
+    assert used() == {"en": "language", "xx": "all", "yy": None}
+    assert used(min_reference=2) == {"en": "language", "xx": "language", "yy": None}
+
+
 def test_classifier_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     out = quality_mil.query(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
