@@ -7,8 +7,10 @@ sigmoid(U h)))``, the bag is the weighted sum of its encoded passages, and a
 logistic layer scores it. Only document labels are used: the attention learns
 which passages matter.
 
-Training takes a bounded sample of labelled documents (``max_labelled``, those
-with the lowest digest of doc_id); scoring covers every passage of every text.
+Training takes a bounded sample of labelled documents: those with the lowest
+digest of doc_id, at most ``max_labelled`` of them and of ``max_passages``
+passages in all. It learns from every passage of a document of the sample;
+scoring covers every passage of every text.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ PASSAGE_WORDS = 128
 PAIRS = 128
 THRESHOLD = 0.7
 MAX_LABELLED = 6000
-#: At most so many passages of one document enter training (all are scored).
-TRAIN_PASSAGES = 24
+#: Passages of all documents of the training sample, at most (whole documents only).
+MAX_PASSAGES = 120_000
 SEED = 7
 
 _CLASSES = ("lower", "upper", "digit", "stop", "pause", "shout", "symbol", "high", "other")
@@ -214,42 +216,53 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Train on at most ``max_labelled`` labelled, not held-out documents.
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
+        max_passages: int = MAX_PASSAGES) -> Model:
+    """Train on a bounded sample of labelled, not held-out documents.
 
-    The sample is the rows with the lowest digest of doc_id. Rows with a null
-    doc_id, a null label or a label other than 0 and 1 are not used; a document
-    with several labels or rows counts with each. Per document, training sees
-    ``TRAIN_PASSAGES`` passages spread evenly over the text. Only their
-    features reach the driver: at most max_labelled * TRAIN_PASSAGES vectors.
+    In the order of the digests of doc_id and text, whole documents are taken
+    as long as they are at most ``max_labelled`` and have at most
+    ``max_passages`` passages in all; one too long to fit is passed over. Rows
+    with a null doc_id, a null label or a label other than 0 and 1 are not used; rows
+    equal in doc_id, text and label are one. A document with several labels or
+    texts counts with each. Only the features of the sample reach the driver.
     """
     known = (labels.select("doc_id", "quality").where("quality IN (0, 1) AND doc_id IS NOT NULL")
-             .where(~held_out(F.col("doc_id"))).withColumn("_h", F.xxhash64("doc_id")))
+             .where(~held_out(F.col("doc_id"))).distinct().withColumn("_h", F.xxhash64("doc_id")))
     # Digests are spread evenly: about twice the rows wanted lie below this one,
     # so that the tasks do not each send a whole sample to the driver.
     rows = known.count()
     if rows > 4 * max_labelled:
         low = known.where(F.col("_h") <= -(1 << 63) + (1 << 64) * 2 * max_labelled // rows)
         known = low if low.count() >= max_labelled else known
-    known = known.orderBy("_h", "doc_id", "quality").limit(max_labelled).drop("_h")
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
-        F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    known = known.orderBy("_h", "doc_id", "quality").limit(max_labelled)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("_t")).join(
+        F.broadcast(known), "doc_id")
+    # The documents of the sample, without their texts: at most max_labelled rows.
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
+    size = F.greatest(F.ceil(words / PASSAGE_WORDS), F.lit(1)).cast("long")
+    order = ["_h", "doc_id", "quality", "_t"]
+    taken = rows.select(*order, size.alias("n")).distinct().orderBy(*order).limit(max_labelled)
+    chosen, room = [], max_passages
+    for r in taken.orderBy(*order).collect():
+        if r["n"] <= room:
+            chosen.append((r["doc_id"], r["quality"], r["_t"]))
+            room -= r["n"]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(chosen, f"doc_id {id_type}, quality int, _t long")
+    rows = rows.select("doc_id", "text", "_t").join(F.broadcast(chosen), ["doc_id", "_t"])
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for t in batch.column(1):
-                x = passage_features(t.as_py())
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-                made.append(x.astype("<f4").tobytes())
+            made = [passage_features(t.as_py()).astype("<f4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2).cast(pa.int32()), pa.array(made, pa.binary())],
-                ["doc_id", "quality", "x"])
+                [batch.column(0), batch.column(1), batch.column(3).cast(pa.int32()), pa.array(made, pa.binary())],
+                ["doc_id", "_t", "quality", "x"])
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    sample = rows.mapInArrow(featured, f"doc_id {id_type}, quality int, x binary")
-    got = sorted(((str(r[0]), r[1], bytes(r[2])) for r in sample.toLocalIterator()))
+    rows = rows.select("doc_id", "_t", "text", "quality").dropDuplicates(["doc_id", "_t", "quality"])
+    sample = rows.mapInArrow(featured, f"doc_id {id_type}, _t long, quality int, x binary")
+    got = sorted((str(r[0]), r[2], bytes(r[3])) for r in sample.toLocalIterator())
     bags = [np.frombuffer(x, "<f4").reshape(-1, FEATURES) for _, _, x in got]
     return train(bags, np.array([q for _, q, _ in got]))
 
@@ -278,7 +291,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier fitted on ``labels`` accepts,
-    unchanged."""
+    unchanged: extra and clashing columns stay. Null and empty texts are judged
+    as one empty passage, equal texts alike; no rows: none."""
     model = fit(docs, labels)
     return shielded(docs, ("doc_id", "text"),
                     lambda rows: scored(rows, model).where(F.col("score") >= threshold))
