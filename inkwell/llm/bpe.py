@@ -516,7 +516,9 @@ def encoded(docs: DataFrame, encoder: str) -> DataFrame:
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row; ``ids`` is binary,
-    little-endian unsigned 32-bit, as training jobs read it."""
+    little-endian unsigned 32-bit, as training jobs read it. Null and empty
+    texts have no tokens and decode to ''; other columns are not read; repeated
+    rows stay; no rows: none."""
     vocabulary = vocabulary or default_vocabulary()
     out = encoded(docs.select("doc_id", "text"), build_encoder(docs, vocabulary))
     n = (F.octet_length("ids") / 4).cast("bigint")
@@ -524,7 +526,9 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def token_digests(docs: DataFrame, vocabulary: str, max_words: int = MAX_WORDS) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document: lowercase
+    hex digests of the ids as little-endian unsigned 32-bit numbers and of the
+    decoded text. Odd rows as in ``tokenized``."""
     out = encoded(docs.select("doc_id", "text"), build_encoder(docs, vocabulary, max_words))
     return out.select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),

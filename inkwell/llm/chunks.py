@@ -43,7 +43,9 @@ def chunked(docs: DataFrame, chunk_bytes: int | None = None) -> tuple[DataFrame,
     name = f"document_chunks_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
     rows.write.bucketBy(buckets, "_chunk").option("path", path).saveAsTable(name)
-    return spark.table(name), chunks
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE `{name}`")  # the plan above knows files and buckets; no entry stays in the catalog
+    return table, chunks
 
 
 def _bucket_numbers(spark: SparkSession, n: int) -> DataFrame:

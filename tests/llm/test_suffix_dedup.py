@@ -86,3 +86,10 @@ def test_merge_of_runs():
     assert [t for _, t in out] == sorted(every)
     for (_, a), (n, b) in zip(out, out[1:]):
         assert n == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), sd.WIDTH)
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    docs = spark.createDataFrame([(1, "a" * 300), (2, "a" * 300)], "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    assert sd.query(docs).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
