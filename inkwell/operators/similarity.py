@@ -6,14 +6,16 @@ value (NULL -> all zero), z-scored with the population mean / stddev
 so its cosine with anything is 0).
 
 Exact top-k without pairing rows: items stand in blocks of about
-``block_size`` neighbours (the same nearest pivot). Each block knows its
-centre, its angular radius and the score that every one of its items reaches
-with its own block; a block pair is multiplied only if the angle between
-the centres less the radii allows that score. Items are sent once to each
-needed pair, so one ``applyInPandas`` group holds two blocks (memory bounded
-by the block size, not by the catalogue); it computes the dense product with
-NumPy and emits only each row's k best partners. How many pairs remain
-depends on how the items cluster.
+``block_size`` neighbours (the same nearest pivot), and a block's items in
+leaves. Cells, blocks and leaves are balls with a centre and an angular radius;
+every item has a floor, the score of its k-th best partner so far. A pair of
+balls is multiplied only if the angle between the centres less the radii allows
+an item's floor: block pairs are judged by joins of stored tables, leaf pairs
+within the task that holds two blocks. Floors start from the item's own block
+and rise once more after the nearest blocks. One ``applyInPandas`` group holds two
+blocks (memory bounded by the block size, not by the catalogue) and emits only
+each row's k best partners. How many products remain depends on how the items
+cluster.
 """
 
 from __future__ import annotations
@@ -34,6 +36,9 @@ PAIR_TASKS = 2000
 # Up to so many blocks all pairs are multiplied.
 FEW_BLOCKS = 16
 FLOOR_SLACK = 1e-6
+# Pivots of the cells at most (they are sent to every task), items of a leaf, and
+# the blocks next to a block that are multiplied before the floors rise.
+MAX_PIVOTS, LEAF_SIZE, NEAR_BLOCKS = 4096, 128, 3
 DEFAULT_BLOCK = 4096  # items per block: a group holds two blocks, ~0.5 GB of products
 
 
@@ -116,16 +121,53 @@ def _spread_pairs(pairs: DataFrame, blocks: int, n_pairs: int | None = None) ->
 
 
 # ---------------------------------------------------------------------------
-# Blocks of neighbours and the block pairs that can matter
+# A tree of balls: cells of near pivots, blocks of them, leaves of a block
 # ---------------------------------------------------------------------------
 
 
-def neighbour_blocks(vectors: DataFrame, blocks: int, block_size: int) -> tuple[DataFrame, int]:
-    """``vectors`` with ``blk`` (checkpointed), and the number of blocks. Every
-    item goes to the nearest of ``blocks`` pivots (the items with the lowest
-    digests); pivots with more than ``block_size`` items have several blocks."""
-    rows = vectors.orderBy(F.xxhash64("book_id"), "book_id").limit(blocks).select("vec").collect()
-    pivots = np.array([r[0] for r in rows], dtype=np.float64)  # one for every block_size items
+def _ball(v: np.ndarray) -> tuple[np.ndarray, float, bool]:
+    """Centre and angular radius of unit vectors, and whether a zero vector is among them."""
+    long = np.linalg.norm(v, axis=1) > 0.5  # unit vectors; the others are zero
+    mean = v.sum(axis=0)
+    size = np.linalg.norm(mean)
+    if not long.any() or size <= 1e-12:
+        return np.zeros(v.shape[1]), np.pi, bool((~long).any())
+    centre = mean / size
+    return centre, float(np.arccos(np.clip(v[long] @ centre, -1, 1)).max()), bool((~long).any())
+
+
+def _reach(dot: np.ndarray, radii: np.ndarray, zero: np.ndarray) -> np.ndarray:
+    """Largest cosine that items of two balls can have, from the cosine of the
+    centres and the sum of the radii; a zero vector scores 0 with everything."""
+    best = np.cos(np.clip(np.arccos(np.clip(dot, -1, 1)) - radii, 0, np.pi))
+    return np.where(zero, np.maximum(best, 0), best)
+
+
+def _leaves(v: np.ndarray, size: int) -> np.ndarray:
+    """Leaf number of each row: halves along the direction of largest spread
+    (two far rows tell it), until a leaf has at most ``size`` rows."""
+    leaf, todo, made = np.zeros(len(v), np.int32), [np.arange(len(v))], 0
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            leaf[rows] = made
+            made += 1
+            continue
+        x = v[rows]
+        one = x[np.argmin(x @ x[0])]
+        side = x @ (one - x[np.argmin(x @ one)])
+        order = rows[np.argsort(side, kind="stable")]
+        todo += [order[:len(order) // 2], order[len(order) // 2:]]
+    return leaf
+
+
+def neighbour_blocks(vectors: DataFrame, blocks: int, block_size: int) -> DataFrame:
+    """(book_id, vec, cell, blk), checkpointed. Every item goes to the cell of
+    the nearest of ``blocks`` pivots (at most ``MAX_PIVOTS``: the items with
+    the lowest digests); cells with more than ``block_size`` items have several
+    blocks. The driver sees the pivots and the cells' sizes, no more."""
+    rows = vectors.orderBy(F.xxhash64("book_id"), "book_id").limit(min(blocks, MAX_PIVOTS)).select("vec").collect()
+    pivots = np.array([r[0] for r in rows], dtype=np.float64)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -135,68 +177,186 @@ def neighbour_blocks(vectors: DataFrame, blocks: int, block_size: int) -> tuple[
 
     placed = vectors.select("book_id", "vec").mapInPandas(
         nearest, "book_id long, vec array<double>, cell int").checkpoint()
-    sizes = placed.groupBy("cell").count().orderBy("cell").collect()
     table, total = [], 0
-    for r in sizes:
-        parts = math.ceil(r["count"] / block_size)
-        table.append((r["cell"], total, parts))
+    for cell, n in placed.groupBy("cell").count().orderBy("cell").collect():
+        parts = math.ceil(n / block_size)
+        table.append((cell, total, parts))
         total += parts
     cells = vectors.sparkSession.createDataFrame(table, "cell int, first int, parts int")
     blk = F.col("first") + F.pmod(F.xxhash64("book_id"), F.col("parts"))
-    return placed.join(F.broadcast(cells), "cell").select(
-        "book_id", "vec", blk.cast("int").alias("blk")), total
+    return placed.join(F.broadcast(cells), "cell").select("book_id", "vec", "cell", blk.cast("int").alias("blk"))
 
 
-def _block_bounds(k: int):
-    """Centre and angular radius of a block, and the score that the k-th best
-    item of its own block reaches for every one of its items."""
+_FOUND = "book_id long, other_id long, similarity_score double"
+
+
+def _with_leaves(k: int, leaf_size: int):
+    """Leaves of a block, and each item's floor: the score of the k-th best of
+    its own block (-2 if there are fewer)."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         v = np.vstack(pdf["vec"].to_numpy())
-        long = np.linalg.norm(v, axis=1) > 0.5  # unit vectors; the others are zero
-        mean = v.sum(axis=0)
-        size = np.linalg.norm(mean)
-        centre = mean / size if size > 0 else mean
-        radius = float(np.arccos(np.clip(v[long] @ centre, -1, 1)).max()) if long.any() and size > 0 else np.pi
-        floor = -2.0
+        floor = np.full(len(v), -2.0)
         if len(v) > k:
-            s = v @ v.T
-            np.fill_diagonal(s, -np.inf)
-            floor = float(np.partition(s, len(v) - k, axis=1)[:, len(v) - k].min())
-        return pd.DataFrame({"blk": [int(pdf["blk"].iat[0])], "centre": [centre], "radius": [radius],
-                             "floor": [floor], "zero": [bool((~long).any())]})
+            for at in range(0, len(v), 512):
+                s = v[at:at + 512] @ v.T
+                s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
+                floor[at:at + 512] = np.partition(s, len(v) - k, axis=1)[:, len(v) - k]
+        return pdf.assign(leaf=_leaves(v, leaf_size), floor=floor)
+    return run
+
+
+def _block_balls(pdf: pd.DataFrame) -> pd.DataFrame:
+    centre, radius, zero = _ball(np.vstack(pdf["vec"].to_numpy()))
+    return pd.DataFrame({"cell": [int(pdf["cell"].iat[0])], "blk": [int(pdf["blk"].iat[0])], "centre": [centre],
+                         "radius": [radius], "zero": [zero]})
+
+
+def _near_cells(cells: pd.DataFrame):
+    """mapInPandas function: the cells that a block's items can reach their
+    floors in. A cell's ball holds the balls of its blocks."""
+    centre = np.vstack(cells["centre"].to_numpy())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                own = np.vstack(pdf["centre"].to_numpy())
+                best = _reach(own @ centre.T, pdf["radius"].to_numpy()[:, None] + cells["radius"].to_numpy(),
+                              pdf["zero"].to_numpy()[:, None] | cells["zero"].to_numpy())
+                row, col = np.nonzero(best >= pdf["floor"].to_numpy()[:, None] - FLOOR_SLACK)
+                yield pdf[["blk", "centre", "radius", "zero", "floor"]].iloc[row].assign(
+                    cell=cells["cell"].to_numpy()[col])
     return run
 
 
-def needed_pairs(bounds: pd.DataFrame) -> np.ndarray:
-    """(blocks, blocks) flags: pairs in which an item of one block can score at
-    least its own block's floor with an item of the other. The cosine of two
-    items is at most that of the angle between the centres less both radii."""
-    centre = np.vstack(bounds["centre"].to_numpy())
-    radius, floor = bounds["radius"].to_numpy(), bounds["floor"].to_numpy()
-    gap = np.arccos(np.clip(centre @ centre.T, -1, 1)) - radius[:, None] - radius[None, :]
-    best = np.cos(np.clip(gap, 0, np.pi))
-    zero = bounds["zero"].to_numpy()  # a zero vector scores 0 with everything
-    best = np.where(zero[:, None] | zero[None, :], np.maximum(best, 0), best)
-    need = best >= floor[:, None] - FLOOR_SLACK
-    need = need | need.T
-    np.fill_diagonal(need, True)
-    return need
-
-
-def _needed_block_pairs(placed: DataFrame, k: int, blocks: int) -> tuple[DataFrame, int]:
-    """Items once per needed block pair, as ``_block_pairs`` gives them for all
-    pairs; and the number of pairs. One row per block reaches the driver."""
-    stats = placed.groupBy("blk").applyInPandas(
-        _block_bounds(k), "blk int, centre array<double>, radius double, floor double, zero boolean")
-    need = needed_pairs(stats.toPandas().sort_values("blk"))
-    partners = placed.sparkSession.createDataFrame(
-        [(int(b), np.flatnonzero(need[b]).tolist()) for b in range(blocks)], "blk int, partners array<int>")
-    each = placed.join(F.broadcast(partners), "blk").select("book_id", "vec", "blk", F.explode("partners").alias("p"))
-    left, own = F.col("blk") <= F.col("p"), F.col("blk") == F.col("p")
-    roles = F.when(own, F.array(F.lit("L"), F.lit("R"))).otherwise(F.array(F.when(left, "L").otherwise("R")))
-    pairs = each.select("book_id", "vec", F.explode(roles).alias("role"),
-                        F.least("blk", "p").alias("pi"), F.greatest("blk", "p").alias("pj"))
-    return pairs, int(np.triu(need).sum())
+def _angle(dot):
+    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+
+
+def _reachable(balls: DataFrame, floors: DataFrame) -> DataFrame:
+    """(blk, other, gap) of the block pairs in which an item of ``blk`` can reach
+    its floor, without the pair of a block with itself. Blocks meet the cells
+    (at most ``MAX_PIVOTS``) first and then the blocks of the cells left."""
+    cells = balls.groupBy("cell").applyInPandas(
+        _cell_ball, "cell int, centre array<double>, radius double, zero boolean").toPandas()
+    if not len(cells):
+        return balls.select("blk", F.col("blk").alias("other"), F.lit(0.0).alias("gap"))
+    kind = "blk int, centre array<double>, radius double, zero boolean, floor double, cell int"
+    near = balls.drop("cell").join(floors, "blk").mapInPandas(_near_cells(cells), kind)
+    other = balls.select("cell", *[F.col(c).alias(f"_{c}") for c in ("blk", "centre", "radius", "zero")])
+    dot = F.aggregate(F.zip_with("centre", "_centre", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+    gap = F.greatest(F.lit(0.0), _angle(dot) - F.col("radius") - F.col("_radius"))
+    best = F.cos(F.least(F.col("gap"), F.lit(math.pi)))
+    best = F.when(F.col("zero") | F.col("_zero"), F.greatest(best, F.lit(0.0))).otherwise(best)
+    return (near.join(other, "cell").where("blk <> _blk").withColumn("gap", gap)
+            .where(best >= F.col("floor") - FLOOR_SLACK).select("blk", F.col("_blk").alias("other"), "gap"))
+
+
+def _cell_ball(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The ball of a cell's blocks (a few: cells are split into blocks by hash)."""
+    centres = np.vstack(pdf["centre"].to_numpy())
+    mean = centres.sum(axis=0)
+    size = np.linalg.norm(mean)
+    centre = mean / size if size > 1e-12 else mean
+    far = np.arccos(np.clip(centres @ centre, -1, 1)) + pdf["radius"].to_numpy() if size > 1e-12 else np.array([np.pi])
+    return pd.DataFrame({"cell": [int(pdf["cell"].iat[0])], "centre": [centre],
+                         "radius": [float(min(far.max(), np.pi))], "zero": [bool(pdf["zero"].any())]})
+
+
+def _leaf_products(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of ``a``, rows of ``b``) that must be multiplied: for each leaf of
+    ``a`` the leaves of ``b`` in which one of its items can reach its floor."""
+    va, vb = np.vstack(a["vec"].to_numpy()), np.vstack(b["vec"].to_numpy())
+    groups = []
+    for v, leaf in ((va, a["leaf"].to_numpy()), (vb, b["leaf"].to_numpy())):
+        rows = [np.flatnonzero(leaf == x) for x in np.unique(leaf)]
+        groups.append((rows, [_ball(v[r]) for r in rows]))
+    (rows_a, balls_a), (rows_b, balls_b) = groups
+    centre, radius, zero = (np.array(x) for x in zip(*balls_b))
+    floor = a["floor"].to_numpy()
+    for rows, (c, r, z) in zip(rows_a, balls_a):
+        need = _reach(centre @ c, radius + r, zero | z) >= floor[rows].min() - FLOOR_SLACK
+        if need.any():
+            yield rows, np.sort(np.concatenate([x for x, n in zip(rows_b, need) if n]))
+
+
+def _pruned_topk(k: int):
+    """Best partners of a block pair's items, leaf by leaf; pairs below an item's
+    floor are not sent on."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = {r: x.sort_values("book_id", kind="stable").reset_index(drop=True) for r, x in pdf.groupby("role")}
+        parts = [pd.DataFrame({"book_id": np.zeros(0, np.int64), "other_id": np.zeros(0, np.int64),
+                               "similarity_score": np.zeros(0)})]
+        turns = [("L", "R")] if pdf["pi"].iat[0] == pdf["pj"].iat[0] else [("L", "R"), ("R", "L")]
+        for one, two in turns if len(side) == 2 else []:
+            a, b = side[one], side[two]
+            ids_a, ids_b = a["book_id"].to_numpy(np.int64), b["book_id"].to_numpy(np.int64)
+            va, vb = np.vstack(a["vec"].to_numpy()), np.vstack(b["vec"].to_numpy())
+            for rows, cols in _leaf_products(a, b):
+                found = _topk_rows(ids_a[rows], ids_b[cols], va[rows] @ vb[cols].T, k)
+                least = a["floor"].to_numpy()[np.searchsorted(ids_a, found["book_id"])]
+                parts.append(found[found["similarity_score"] >= least - FLOOR_SLACK])
+        return pd.concat(parts, ignore_index=True)
+    return run
+
+
+def _count_products(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Products that ``_pruned_topk`` forms for a block pair."""
+    side = {r: x.sort_values("book_id").reset_index(drop=True) for r, x in pdf.groupby("role")}
+    turns = [("L", "R")] if pdf["pi"].iat[0] == pdf["pj"].iat[0] else [("L", "R"), ("R", "L")]
+    n = sum(len(r) * len(c) for one, two in turns if len(side) == 2 for r, c in _leaf_products(side[one], side[two]))
+    return pd.DataFrame({"g": [int(pdf["g"].iat[0])], "n": [n]})
+
+
+def _meeting(items: DataFrame, pairs: DataFrame, tasks: int) -> DataFrame:
+    """Items once for each of the (pi, pj) block pairs they belong to, with their role."""
+    left = items.join(pairs, items["blk"] == pairs["pi"]).withColumn("role", F.lit("L"))
+    right = items.join(pairs, items["blk"] == pairs["pj"]).withColumn("role", F.lit("R"))
+    both = left.unionByName(right).drop("blk", "cell")
+    both = both.withColumn("g", F.xxhash64("pi", "pj"))
+    return both.repartition(min(PAIR_TASKS, max(1, tasks)), "g")
+
+
+def _raised(items: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``items`` with the floors that the pairs found so far allow."""
+    w = Window.partitionBy("book_id").orderBy(F.col("similarity_score").desc())
+    kth = (found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k)
+           .select("book_id", F.col("similarity_score").alias("_kth")))
+    floor = F.greatest(F.col("floor"), F.coalesce("_kth", F.lit(-2.0)))
+    return items.join(kth, "book_id", "left").withColumn("floor", floor).drop("_kth")
+
+
+def _tree_topk(placed: DataFrame, k: int, leaf_size: int = LEAF_SIZE, near: int = NEAR_BLOCKS,
+               kernel=None) -> DataFrame:
+    """Candidates (book_id, other_id, similarity_score) that hold every item's k
+    best, in three rounds: the block itself, the ``near`` blocks next to it, and
+    with the floors risen by then all blocks that items can still reach theirs in."""
+    kernel = kernel or (_pruned_topk(k), _FOUND)
+    items = placed.groupBy("blk").applyInPandas(
+        _with_leaves(k, leaf_size), "book_id long, vec array<double>, cell int, blk int, leaf int, floor double").checkpoint()
+    balls = items.groupBy("blk").applyInPandas(
+        _block_balls, "cell int, blk int, centre array<double>, radius double, zero boolean").checkpoint()
+    lowest = lambda x: x.groupBy("blk").agg(F.min("floor").alias("floor"))
+    ordered = lambda x: x.select(
+        F.least("blk", "other").alias("pi"), F.greatest("blk", "other").alias("pj")).distinct()
+    w = Window.partitionBy("blk").orderBy("gap", "other")
+    reach = _reachable(balls, lowest(items)).checkpoint()
+    close = ordered(reach.withColumn("r", F.row_number().over(w)).where(F.col("r") <= near))
+    first = ordered(balls.select("blk", F.col("blk").alias("other"))).unionByName(close).checkpoint()
+    run = lambda items, pairs: _meeting(items, pairs, pairs.count()).groupBy("g").applyInPandas(*kernel).checkpoint()
+    found = run(items, first)
+    if kernel[1] != _FOUND:  # counting: floors rise as they would
+        known = _meeting(items, first, first.count()).groupBy("g").applyInPandas(_pruned_topk(k), _FOUND)
+        raised = _raised(items, known, k).checkpoint()
+    else:
+        raised = _raised(items, found, k).checkpoint()
+    rest = ordered(_reachable(balls, lowest(raised))).join(first, ["pi", "pj"], "left_anti").checkpoint()
+    return found if rest.isEmpty() else found.unionByName(run(raised, rest))
+
+
+def products_formed(vectors: DataFrame, k: int, blocks: int, block_size: int) -> int:
+    """Products of two items that the tree search forms (all pairs: items squared)."""
+    placed = neighbour_blocks(vectors.checkpoint(), blocks, block_size)
+    return int(_tree_topk(placed, k, kernel=(_count_products, "g long, n long")).agg(F.sum("n")).first()[0] or 0)
 
 
 def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -265,12 +425,9 @@ def item_similarity_topk(vectors: DataFrame, k: int = 10, block_size: int = DEFA
     blocks = blocks or n_blocks(count, block_size)
     if blocks <= FEW_BLOCKS:  # bounds cost more than the pairs they could save
         pairs = _spread_pairs(_block_pairs(vectors, blocks), blocks)
+        cand = pairs.groupBy("g").applyInPandas(_pair_topk(k), _FOUND)
     else:
-        placed, blocks = neighbour_blocks(vectors, blocks, max(block_size, -(-count // blocks)))
-        pairs, n_pairs = _needed_block_pairs(placed, k, blocks)
-        pairs = _spread_pairs(pairs, blocks, n_pairs)
-    cand = pairs.groupBy("g").applyInPandas(
-        _pair_topk(k), "book_id long, other_id long, similarity_score double")
+        cand = _tree_topk(neighbour_blocks(vectors, blocks, max(block_size, -(-count // blocks))), k)
     w = Window.partitionBy("book_id").orderBy(F.round("similarity_score", 9).desc(), "other_id")
     if min_similarity is not None:
         cand = cand.where(F.col("similarity_score") >= min_similarity)

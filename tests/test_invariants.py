@@ -326,9 +326,25 @@ def test_neighbour_blocks_skip_pairs_and_stay_exact(spark):
     for i in range(480):
         want = sorted((-round(sim[i, j], 9), j * 7) for j in range(480) if j != i)[:5]
         assert [got[i * 7, k] for k in range(1, 6)] == [j for _, j in want], i
-    placed, n = S.neighbour_blocks(df.where("book_id != 35"), 24, 40)
-    _, pairs = S._needed_block_pairs(placed, 5, n)
-    assert pairs < 0.5 * n * (n + 1) / 2
+    assert S.products_formed(df.where("book_id != 35"), 5, 24, 40) < 0.3 * 479 ** 2
+
+
+def test_tree_search_is_exact_on_any_data(spark):
+    """Uniform directions, copies, zero vectors and blocks of one cell."""
+    import numpy as np
+    from inkwell.operators import similarity as S
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(400, 4))
+    v[100:180] = v[100]  # copies that fill a cell of several blocks
+    v[200:230] = 0.0
+    v = np.divide(v, np.linalg.norm(v, axis=1, keepdims=True), out=np.zeros_like(v), where=np.abs(v).sum(1, keepdims=True) > 0)
+    df = spark.createDataFrame([(i * 3, [float(x) for x in r]) for i, r in enumerate(v)], "book_id long, vec array<double>")
+    got = {(r.book_id, r["rank"]): r.other_id for r in S.item_similarity_topk(df, 6, blocks=20).collect()}
+    sim = v @ v.T
+    for i in range(400):
+        want = sorted((-round(sim[i, j], 9), j * 3) for j in range(400) if j != i)[:6]
+        assert [got[i * 3, k] for k in range(1, 7)] == [j for _, j in want], i
+    assert S.item_similarity_topk(df.limit(1), 6, blocks=20).count() == 0
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
