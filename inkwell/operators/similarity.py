@@ -38,7 +38,7 @@ FEW_BLOCKS = 16
 FLOOR_SLACK = 1e-6
 # Pivots of the cells at most (they are sent to every task), items of a leaf, and
 # the blocks next to a block that are multiplied before the floors rise.
-MAX_PIVOTS, LEAF_SIZE, NEAR_BLOCKS = 4096, 128, 3
+MAX_PIVOTS, LEAF_SIZE, NEAR_BLOCKS = 4096, 32, 3
 DEFAULT_BLOCK = 4096  # items per block: a group holds two blocks, ~0.5 GB of products
 
 
@@ -144,8 +144,9 @@ def _reach(dot: np.ndarray, radii: np.ndarray, zero: np.ndarray) -> np.ndarray:
 
 
 def _leaves(v: np.ndarray, size: int) -> np.ndarray:
-    """Leaf number of each row: halves along the direction of largest spread
-    (two far rows tell it), until a leaf has at most ``size`` rows."""
+    """Leaf number of each row: rows are parted between two far ones, by the one
+    that is nearer (in halves if that leaves few on a side), until a leaf has at
+    most ``size`` rows."""
     leaf, todo, made = np.zeros(len(v), np.int32), [np.arange(len(v))], 0
     while todo:
         rows = todo.pop()
@@ -156,8 +157,11 @@ def _leaves(v: np.ndarray, size: int) -> np.ndarray:
         x = v[rows]
         one = x[np.argmin(x @ x[0])]
         side = x @ (one - x[np.argmin(x @ one)])
-        order = rows[np.argsort(side, kind="stable")]
-        todo += [order[:len(order) // 2], order[len(order) // 2:]]
+        order = np.argsort(side, kind="stable")
+        cut = int(np.searchsorted(side[order], (side.min() + side.max()) / 2))
+        if min(cut, len(rows) - cut) * 16 < len(rows):
+            cut = len(rows) // 2
+        todo += [rows[order[:cut]], rows[order[cut:]]]
     return leaf
 
 
