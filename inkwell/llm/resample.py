@@ -16,6 +16,7 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ def word_spans(text: bytes) -> np.ndarray:
         _SPLIT = Split(Regex(WORD), "removed", invert=True)
     parts = PreTokenizedString(text.decode())
     _SPLIT.pre_tokenize(parts)
-    spans = [s[1] for s in parts.get_splits("original", "byte")]
-    return np.array(spans, np.int64).reshape(-1, 2)
+    spans = [word[1] for word in parts.get_splits("original", "byte")]
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
 class Crc:
@@ -70,6 +71,22 @@ class Crc:
         for n in range(1, 64):
             self.near[n] = self._one(self.near[n - 1])
 
+    def of(self, data: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Sums of the slices of ``data`` at ``start``; those of less than 64 bytes
+        go on together, byte by byte."""
+        flat, out = np.frombuffer(data, np.uint8), np.empty(len(start), np.uint32)
+        for i in np.flatnonzero(size > 63).tolist():
+            out[i] = zlib.crc32(data[start[i]:start[i] + size[i]])
+        short = np.flatnonzero(size <= 63)
+        short = short[np.argsort(-size[short], kind="stable")]
+        begin, left = start[short], size[short]
+        sums = np.full(len(short), 0xFFFFFFFF, np.uint32)
+        for k in range(int(left.max(initial=0))):
+            n = int(np.searchsorted(-left, -k, side="left"))  # the longer ones stand first
+            sums[:n] = self.byte[(sums[:n] ^ flat[begin[:n] + k]) & 255] ^ (sums[:n] >> 8)
+        out[short] = ~sums
+        return out
+
     def _one(self, x: np.ndarray) -> np.ndarray:
         return self.byte[x & 255] ^ (x >> 8)
 
@@ -98,35 +115,35 @@ class Crc:
 _CRC = None
 
 
-def window_crcs(words: np.ndarray, size: np.ndarray, text: np.ndarray, longest: int = LONGEST) -> list[np.ndarray]:
-    """CRC-32 of all windows of 1, 2, ... ``longest`` words. ``words`` are the sums
-    of the words, ``size`` their bytes, ``text`` the text of each: a window lies in one text."""
+def crc() -> Crc:
+    """The tables, made once in a worker."""
     global _CRC
     if _CRC is None:
         _CRC = Crc()
+    return _CRC
+
+
+def window_crcs(words: np.ndarray, size: np.ndarray, text: np.ndarray, longest: int = LONGEST) -> list[np.ndarray]:
+    """CRC-32 of all windows of 1, 2, ... ``longest`` words. ``words`` are the sums
+    of the words, ``size`` their bytes, ``text`` the text of each: a window lies in one text."""
     out, ahead = [words], words
     for k in range(1, min(longest, len(words))):
-        ahead = _CRC.move(_CRC.spaced(ahead[:-1]), size[k:]) ^ words[k:]
+        ahead = crc().move(crc().spaced(ahead[:-1]), size[k:]) ^ words[k:]
         out.append(ahead)
     return [x[text[:len(x)] == text[k:]] for k, x in enumerate(out)]
 
 
-def text_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """CRC-32 and bytes of each word of a text."""
-    low = (text or "").encode().lower()  # bytes: A-Z only
-    spans = word_spans(low)
-    sums = np.fromiter((zlib.crc32(low[a:b]) for a, b in spans.tolist()), np.uint32, len(spans))
-    return sums, spans[:, 1] - spans[:, 0]
-
-
 def batch_windows(texts) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Words of each text, and for each length of window the buckets of all
     windows and the texts (their places) they are in."""
-    found = [text_words(t.as_py()) for t in texts]
-    n = np.array([len(f[0]) for f in found], np.int64)
-    text = np.repeat(np.arange(len(found)), n)
-    empty = [(np.empty(0, np.uint32), np.empty(0, np.int64))]
-    words, size = (np.concatenate(x) for x in zip(*(found or empty)))
+    low = [(t.as_py() or "").encode().lower() for t in texts]  # bytes: A-Z only
+    spans = [word_spans(t) for t in low]
+    n = np.array([len(s) for s in spans], np.int64)
+    text = np.repeat(np.arange(len(low)), n)
+    begin = np.cumsum([0, *map(len, low)])[:-1]
+    spans = np.concatenate([np.empty((0, 2), np.int64), *spans])
+    size = spans[:, 1] - spans[:, 0]
+    words = crc().of(b"".join(low), spans[:, 0] + np.repeat(begin, n), size)
     crcs = window_crcs(words, size, text)
     places = [text[:len(text) - k][text[:len(text) - k] == text[k:]] for k in range(len(crcs))]
     return n, [c % BUCKETS for c in crcs], places
