@@ -108,7 +108,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     def work(docs: DataFrame) -> DataFrame:
         rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "mix-docs")
         sizes = rows.select("doc_id", "source", "_rid", word_count(F.col("text")).alias("size"))
-        taken = mix(sizes, **options).where("copies > 0").select("_rid", "copies")
+        taken = mix(stored(sizes, "mix-sizes"), **options).where("copies > 0").select("_rid", "copies")
         return rows.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
 
     return shielded(docs, ("doc_id", "source", "text"), work)
@@ -116,5 +116,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """op5: 150 % of all words, weights 5, 2, 1, at most 2 copies a document."""
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Stored, so that the sampling of the range sort does not count the words of all texts again.
+    rows = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
