@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from inkwell.functions.columns import safe_division
-from inkwell.operators import incremental, quality
+from inkwell.operators import constraints, incremental, quality
 from inkwell.plans.oracle import build
 from inkwell.plans.registry import register
 from inkwell.session import scratch_dir
@@ -223,6 +223,53 @@ FROM (FROM s WHERE transaction_id IS NOT NULL
                  ORDER BY {', '.join(f'{c} DESC NULLS LAST' for c in _order.split(', '))} LIMIT 1))""",
     "fact_sales"))(_incremental)
 
+# -- constraints over time ------------------------------------------------------
+LOADS = 4
+REPEATED, ORPHANED = 97, 89  # books whose sales come again a load later, or name an unknown book
+
+
+def _load(year):
+    return F.pmod(year, F.lit(LOADS)).cast("int")
+
+
+def _constraints(m):
+    """Failing keys of each of LOADS batches of facts. Sales of every REPEATEDth
+    book are sent again with the next batch, those of every ORPHANEDth name a book
+    that the catalogue lacks. Only key indexes are read, never the loaded facts."""
+    facts = m.fact_sales.select("transaction_id", "book_id", _load(F.col("sale_year")).alias("load"))
+    facts = facts.withColumn("book_id", F.when(F.col("book_id") % ORPHANED == 0, -F.col("book_id") - 1)
+                             .otherwise(F.col("book_id")))
+    again = facts.where((F.col("book_id") % REPEATED == 0) & (F.col("load") < LOADS - 1)).withColumn(
+        "load", F.col("load") + 1)
+    sent = facts.unionByName(again)
+    run = scratch_dir(m.spark, f"constraints-{uuid.uuid4().hex}")
+    constraints.add_keys(m.dim_books, "book_id", f"{run}/books", "0")
+    out = []
+    for load in range(LOADS):
+        batch = sent.where(F.col("load") == load)
+        # Written as each load's report: the index grows by the next one's keys.
+        for test, rows in (
+                ("unique", constraints.unique_failures(m.spark, batch, "transaction_id", f"{run}/sales", str(load))),
+                ("relationships", constraints.relationship_failures(m.spark, batch, "book_id", f"{run}/books"))):
+            rows.select(F.lit(load).alias("load"), F.lit(test).alias("test"), "key", "n_records").write.mode(
+                "append").parquet(f"{run}/failures")
+        constraints.add_keys(batch, "transaction_id", f"{run}/sales", str(load))
+    return m.spark.read.schema("load int, test string, key string, n_records long").parquet(f"{run}/failures")
+
+
+register("dq_constraints_over_time", build(f"""
+WITH f AS (SELECT transaction_id, if(book_id % {ORPHANED} = 0, -book_id - 1, book_id) AS book_id,
+    CAST(sale_year % {LOADS} AS INTEGER) AS load FROM fact_sales),
+sent AS (FROM f UNION ALL SELECT transaction_id, book_id, load + 1 FROM f
+         WHERE book_id % {REPEATED} = 0 AND load < {LOADS} - 1),
+per AS (SELECT load, transaction_id AS key, count(*) AS n FROM sent WHERE transaction_id IS NOT NULL GROUP BY ALL),
+upto AS (SELECT load, key, sum(n) OVER (PARTITION BY key ORDER BY load) AS n FROM per)
+SELECT load, 'unique' AS test, key, CAST(n AS BIGINT) AS n_records FROM upto WHERE n > 1
+UNION ALL
+SELECT load, 'relationships', CAST(book_id AS VARCHAR), count(*) FROM sent
+WHERE book_id IS NOT NULL AND book_id NOT IN (SELECT book_id FROM dim_books) GROUP BY ALL""",
+    "fact_sales", "dim_books"))(_constraints)
+
 # -- table access ---------------------------------------------------------------
 register("scan_table", "SELECT * FROM part")(
     lambda m: catalog.scan_table(m.spark, f"{m.sf_dir.rstrip('/')}/part.parquet"))
