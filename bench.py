@@ -30,7 +30,7 @@ HEADLINE = [
     "book_context",
 ]
 # Heavier queries, timed apart from the headline sum.
-HEAVY = ["bm25_topk", "embedding_topk", "als_recommendations", "hybrid_recommendations",
+HEAVY = ["bm25_topk", "hybrid_retrieval", "embedding_topk", "als_recommendations", "hybrid_recommendations",
          "fact_sales_stream", "campaign_window_stream"]
 
 
