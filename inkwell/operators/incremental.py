@@ -104,9 +104,11 @@ def build_locator(spark: SparkSession, target_path: str, key: str | list[str] =
 
 
 def _holding(locator: DataFrame, entries: DataFrame, partition_cols: tuple[str, ...]) -> DataFrame:
-    """Distinct partitions that may hold a row with a key of ``entries``. The
-    buckets of a small batch prune the locator's scan (by a join on the bucket)."""
-    return locator.join(entries.select("bucket", "digest").distinct(), ["bucket", "digest"], "left_semi").select(
+    """Distinct partitions that may hold a row with a key of ``entries``. Of the
+    locator only the buckets that the keys fall in are read."""
+    buckets = [r[0] for r in entries.select("bucket").distinct().collect()]  # at most LOCATOR_BUCKETS
+    return locator.where(F.col("bucket").isin(buckets)).join(
+        entries.select("bucket", "digest").distinct(), ["bucket", "digest"], "left_semi").select(
         *partition_cols).distinct()
 
 

@@ -84,3 +84,16 @@ def test_whole_table_and_partitioned_merge_agree(spark, tmp_path):
     rows = lambda df: sorted((tuple(r) for r in df.select(*first.columns).collect()), key=repr)
     assert rows(inc.write_upsert(spark, path, batch)) == rows(inc.upsert(first, batch))
     assert {r[0]: r[1] for r in rows(inc.upsert(first, batch))} == {"a": 5, None: 6, "c": 3}
+
+
+def test_small_batches_read_few_buckets_of_the_locator(spark, tmp_path):
+    path = str(tmp_path / "t")
+    inc.write_upsert(spark, path, frame(spark, [(str(i), i, 1, i % 3, 0) for i in range(200)]), **OPTIONS)
+    entries = inc._located(frame(spark, [("7", 1, 1, 1, 1)]), ["k"], ("y", "m"))
+    locator = spark.read.schema(entries.schema).parquet(inc.locator_path(path))
+    found = inc._holding(locator, entries, ("y", "m"))
+    assert [tuple(r) for r in found.collect()] == [(1, 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    none = inc._holding(locator, entries.limit(0), ("y", "m"))
+    assert none.collect() == []
