@@ -1,6 +1,9 @@
 """Corpus pipeline: quality filter, near-duplicates, repeated passages, source
 mix, tokens. Each stage calls one operator of the training-data subpackage on
-all documents that the stage before kept."""
+all documents that the stage before kept.
+
+All stages but the last keep the columns of their input, extra ones and those
+with names that the operators use included; no rows give no rows."""
 
 from __future__ import annotations
 
@@ -13,27 +16,32 @@ from inkwell.session import ensure_checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Null and empty texts are
+    judged as an empty passage, equal texts alike."""
     return quality_mil.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
+    """One document of each SimHash group: the smallest doc_id (null last). Texts
+    without words have one fingerprint and are one group."""
     return simhash_dedup.deduplicated(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that also start earlier."""
+    """Texts without the passages that also start earlier; a document of nothing
+    but such passages stays, with what is left of its text. Null texts stay null."""
     return suffix_dedup.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words are
+    never taken. A null source is a source."""
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document taken, and the text they decode to."""
+    """Token ids of every row, and the text they decode to; null and empty texts
+    have none."""
     return bpe.tokenized(docs)
 
 
