@@ -3,13 +3,17 @@ in DuckDB: every item pair over the whole catalogue, ranked per item."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from inkwell.operators import recommend as R
+from inkwell.operators import rolling as RO
 from inkwell.operators import similarity as S
 from inkwell.operators import user_items as UI
 from inkwell.plans.oracle import AS_OF, build, cte
 from inkwell.plans.registry import register
+from inkwell.session import scratch_dir
 
 # The customer segments of the test data, for the oracle; the query takes its users from the data.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -99,6 +103,33 @@ LIMIT 10""", "popular_items")
 register("popular_items_head", build("SELECT * FROM popular_items_head", "popular_items_head"))(
     lambda m: R.popular_items_head(popular(m), 10))
 
+# Popular lists of several windows and dates, from day buckets.
+WINDOWS = [(back, days) for back in (0, 30) for days in (90, 180)]
+
+
+def _rolling(m):
+    """The buckets are written once without the last 45 days, whose months are then written again."""
+    path = scratch_dir(m.spark, f"popular-days-{uuid.uuid4().hex}")
+    late = F.col("sale_date") >= F.date_sub(F.lit(str(m.as_of)).cast("date"), 45)
+    RO.write_days(m.spark, path, m.fact_sales.where(~late))
+    days = RO.write_days(m.spark, path, m.fact_sales, m.fact_sales.where(late).select("sale_date"))
+    windows = m.spark.createDataFrame(WINDOWS, "back int, days int").select(
+        F.date_sub(F.lit(str(m.as_of)).cast("date"), F.col("back")).alias("as_of"), "days")
+    return RO.popular(days, m.dim_books, windows, 50)
+
+
+register("popular_items_rolling", build(f"""
+WITH w AS (SELECT CAST({AS_OF} - back AS DATE) AS as_of, CAST(days AS INTEGER) AS days
+           FROM (VALUES {', '.join(map(str, WINDOWS))}) v(back, days)),
+t AS (SELECT as_of, days, book_id, CAST(sum(quantity) AS BIGINT) AS total_sales,
+    count(DISTINCT customer_type) AS unique_customers,
+    CAST(sum(CAST(unit_price AS DECIMAL(18,8))) AS DOUBLE) / count(unit_price) AS avg_price
+  FROM fact_sales JOIN w ON sale_date >= as_of - days
+  WHERE book_id IN (SELECT book_id FROM dim_books) GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY as_of, days
+  ORDER BY total_sales DESC, unique_customers DESC, book_id) AS INTEGER) AS rank
+FROM t QUALIFY rank <= 50""", "fact_sales", "dim_books"))(_rolling)
+
 register("popular_by_user_type", build(f"""
 WITH pt AS (
   SELECT customer_type AS user_type, book_id, SUM(quantity) AS popularity_score
