@@ -27,12 +27,16 @@ def sales_daily_rollup(fact_sales: DataFrame) -> DataFrame:
 
 
 def sales_performance_daily(fact_sales: DataFrame) -> DataFrame:
-    """Rollup + previous-day revenue, 7-row moving average and growth.
+    """Rollup + previous-day revenue, 7-row moving average and growth."""
+    return sales_trends(sales_daily_rollup(fact_sales))
+
+
+def sales_trends(daily: DataFrame) -> DataFrame:
+    """Trends of the daily rollup.
 
     The window partition is one (genre, channel, region) series of daily
     rows, so its size is bounded by the number of days, not by sales.
     """
-    daily = sales_daily_rollup(fact_sales)
     w = Window.partitionBy("genre", "channel", "region").orderBy("sale_date")
     w7 = w.rowsBetween(-6, Window.currentRow)
     rev = F.col("total_revenue")

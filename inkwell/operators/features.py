@@ -126,6 +126,11 @@ def _rolling_stddev(x: Column, frame) -> Column:
 
 
 def demand_forecasting_features(daily: DataFrame, dim_books: DataFrame) -> DataFrame:
+    """Calendar, window and growth features per book series, with the book's attributes."""
+    return with_book_attributes(demand_windows(daily), dim_books)
+
+
+def demand_windows(daily: DataFrame) -> DataFrame:
     """Calendar, lag (by rows, not days), moving average, rolling stddev
     and growth features per book series; all windows share one
     partition/order spec, so they run as one sort per partition."""
@@ -144,13 +149,17 @@ def demand_forecasting_features(daily: DataFrame, dim_books: DataFrame) -> DataF
         F.avg(q).over(w.rowsBetween(-29, 0)).alias("quantity_ma_30"),
         _rolling_stddev(q, w.rowsBetween(-6, 0)).alias("quantity_std_7"),
     )
-    ts = ts.select(
+    return ts.select(
         "*",
         F.when(F.col("quantity_lag_1") > 0,
                (q - F.col("quantity_lag_1")) / F.col("quantity_lag_1") * 100).alias("quantity_growth_rate_1d"),
         F.when(F.col("quantity_lag_7") > 0,
                (q - F.col("quantity_lag_7")) / F.col("quantity_lag_7") * 100).alias("quantity_growth_rate_7d"),
-    ).alias("t")
+    )
+
+
+def with_book_attributes(ts: DataFrame, dim_books: DataFrame) -> DataFrame:
+    ts = ts.alias("t")
     bc = dim_books.select("book_id", "genre", "format", "price_category", "publication_year").alias("bc")
     return ts.join(bc, F.col("t.book_id") == F.col("bc.book_id"), "left").select(
         "t.*", "bc.genre", "bc.format", "bc.price_category", "bc.publication_year")
