@@ -14,13 +14,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import let, numbered, stored
+from inkwell.llm.common import let, numbered, ranged, stored
 
 PIECE = 80
 LANES = 128
 MODULUS = 1 << 16
-#: Rows of neighbouring doc_ids that are handled together, about.
+#: Rows of neighbouring doc_ids that are handled together, at most (more only
+#: if there would be over ``MAX_CHUNKS`` bounds, which are broadcast).
 CHUNK_ROWS = 500
+BLOCK = 256
+MAX_CHUNKS = BLOCK * BLOCK
+_PARTS = 1 << 20
+#: Copies of one row of a common doc_id that one task writes.
+COPIES = 10_000
 _PIECES = rf"[^\n.!?]{{1,{PIECE}}}[.!?]*|[.!?]+"
 
 
@@ -101,24 +107,82 @@ def _finished(rows: DataFrame) -> DataFrame:
                        lanes(F.col("new")).alias("edited_lanes"))
 
 
+def _slot(doc_id: Column, blocks: Column) -> Column:
+    """Place of ``doc_id`` among ascending bounds, cut into blocks of ``BLOCK``:
+    2 i + 1 for the bound i itself, 2 i for ids before it and after bound i - 1."""
+    def inside(j: Column) -> Column:
+        block = F.get(blocks, j - 1)
+        upto = (j - 1) * BLOCK + F.size(F.filter(block, lambda v: v <= doc_id))
+        return F.when(j == 0, F.lit(0)).otherwise(2 * upto - F.array_contains(block, doc_id).cast("int"))
+    return let(F.size(F.filter(blocks, lambda block: block[0] <= doc_id)), inside)
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with ``chunk`` and ``copies``. Chunks follow each other
+    in descending doc_id, nulls last. Bounds are the ids at which the number of
+    rows passes a multiple of the chunk size, each with a chunk of its own, so
+    neither gaps between ids nor their range matter. An id with more rows than a
+    chunk has them counted by text and parted by text order."""
+    counts = stored(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "fingerprint-ids")
+    zero = F.lit(0).cast("bigint")
+    total, nulls = counts.agg(F.coalesce(F.sum("n"), zero),
+                              F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), F.col("n"))), zero)).first()
+    size = max(CHUNK_ROWS, -(-total // MAX_CHUNKS))
+    placed = numbered(counts.where("doc_id IS NOT NULL"), [F.col("doc_id").asc()], "fingerprint-order", total="n")
+    passed = lambda upto: F.floor(upto / size)
+    own = F.col("doc_id").cast("bigint")
+    bounds = placed.where(passed(F.col("running")) > passed(F.col("running") - F.col("n"))).agg(
+        F.array_sort(F.collect_list(own)).alias("bounds"),
+        F.collect_list(F.when(F.col("n") > size, own)).alias("hot"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("bounds") - 1) / BLOCK).cast("int")),
+                      lambda i: F.slice("bounds", i * BLOCK + 1, F.lit(BLOCK)))
+    bounds = stored(bounds.select("hot", F.when(F.size("bounds") > 0, cut).otherwise(
+        F.array().cast("array<array<bigint>>")).alias("blocks")), "fingerprint-bounds")
+
+    rows = rows.crossJoin(F.broadcast(bounds))  # one row, at most MAX_CHUNKS ids
+    start = F.when(own.isNull(), F.lit(_PARTS)).otherwise(-_PARTS * _slot(own, F.col("blocks")).cast("bigint"))
+    names = ["doc_id", "text", start.cast("bigint").alias("start")]
+    if nulls <= size and not bounds.select(F.size("hot")).first()[0]:
+        return rows.select(*names[:2], names[2].alias("chunk"), F.lit(1).cast("bigint").alias("copies"))
+    common = F.coalesce(F.array_contains("hot", own), F.lit(nulls > size))
+    few = rows.where(~common).select(*names, F.lit(1).cast("bigint").alias("copies"), F.lit(0).alias("part"))
+    many = rows.where(common).select(*names).groupBy("doc_id", "start", "text").agg(
+        F.count(F.lit(1)).alias("copies"))
+    many = ranged(many, [F.col("start").asc(), F.col("text").asc()], "fingerprint-common")
+    many = many.select("doc_id", "text", "start", "copies", F.col("_part").alias("part"))
+    return few.unionByName(many).select("doc_id", "text", (F.col("start") + F.col("part")).alias("chunk"), "copies")
+
+
+def _repeated(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``copies - 1`` rows of each row that stands for several: all but the last
+    copy are followed by the same text. Worked out once, dealt out in blocks."""
+    n = F.col("copies") - 1
+    rows = _finished(rows.where(n > 0).withColumns({"next_text": F.col("text"), "next_lanes": F.col("lanes")}))
+    rows = rows.withColumn("n_chars", F.length("text").cast("bigint"))
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / COPIES)))
+    rows = rows.select(*names, n.alias("n"), block.alias("block")).repartition(F.xxhash64("block", "lanes"))
+    first = F.col("block") * COPIES
+    each = F.sequence(first, F.least(F.col("n"), first + COPIES) - 1)
+    return rows.select(*names, F.explode(each).alias("copy")).drop("copy")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, lanes, edited_lanes, next_lanes) of every
     document, its edited text and the next document in descending doc_id.
 
-    Null texts count as empty. Null doc_ids come after all others; rows of one
-    doc_id follow in the order of their texts, and the last is followed by the
-    first, a single row by itself. Extra columns are not read; no rows, no
-    output.
+    Null texts count as empty. Ids are whole numbers. Null doc_ids come after all
+    others; rows of one doc_id follow in the order of their texts, and the last is
+    followed by the first, a single row by itself. Extra columns are not read; no
+    rows, no output.
     """
+    names = ["doc_id", "n_chars", "edited_sha256", "lanes", "edited_lanes", "next_lanes"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    span = rows.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    low, high = span[1] or 0, span[2] or 0
-    width = max(1, (high - low + 1) * CHUNK_ROWS // max(1, span[0]))
     # Neighbouring doc_ids meet in chunks: texts are shuffled once.
-    chunk = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(-1)).cast("bigint")
+    rows = _chunked(rows)
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
     window = Window.partitionBy("chunk").orderBy(*order)
-    rows = rows.select("doc_id", "text", chunk.alias("chunk"), lanes(F.col("text")).alias("lanes"))
+    rows = rows.select("doc_id", "text", "chunk", "copies", lanes(F.col("text")).alias("lanes"))
+    repeated = _repeated(rows, names)
     rows = rows.select(
         "*", F.lead("text").over(window).alias("next_text"), F.lead("lanes").over(window).alias("next_lanes"),
         (F.row_number().over(window) == 1).alias("is_first")).withColumn(
@@ -130,7 +194,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = stored(rows, "fingerprints")
     # A chunk's last row is followed by the first of the chunk after it.
     firsts = rows.where("is_first")
-    place = stored(numbered(firsts.select("chunk"), [F.col("chunk").desc()], "fingerprint-chunks"),
+    place = stored(numbered(firsts.select("chunk"), [F.col("chunk").asc()], "fingerprint-chunks"),
                    "fingerprint-places")
     n = max(1, place.count())
     lasts = rows.where("is_last").drop("next_lanes", "edited_sha256", "edited_lanes").join(place, "chunk")
@@ -138,8 +202,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.pmod(F.col("row_number") - 1, F.lit(n)).alias("row_number"),
         F.col("text").alias("next_text"), F.col("lanes").alias("next_lanes"))
     lasts = _finished(lasts.join(firsts, "row_number"))
-    names = ["doc_id", "n_chars", "edited_sha256", "lanes", "edited_lanes", "next_lanes"]
-    return rows.where("NOT is_last").select(*names).unionByName(lasts.select(*names))
+    return rows.where("NOT is_last").select(*names).unionByName(lasts.select(*names)).unionByName(repeated)
 
 
 def query(docs: DataFrame) -> DataFrame:

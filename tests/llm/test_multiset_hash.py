@@ -1,8 +1,11 @@
 """Multiset fingerprints: order, insertion, deletion, likeness."""
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from inkwell.llm import multiset_hash as m
+from inkwell.llm.oracles import fingerprint_sql
 
 
 def lanes(spark, *texts):
@@ -35,3 +38,29 @@ def test_edited_is_nearer_than_next(spark):
     for r in m.query(docs).collect():
         by_text.setdefault(texts[r.doc_id], set()).add(r.fingerprint)
     assert all(len(x) == 1 for x in by_text.values())
+
+
+def skewed():
+    """A far-off id, a third of the rows on one id (half of these equal), many null ids."""
+    rows = [(i, f"text {i}. Of its own, number {i * 7}.") for i in range(150)] + [(1 << 60, "far"), (-5, None)]
+    rows += [(77, "the same text. Again.")] * 60 + [(77, f"another {i % 40}! And more.") for i in range(60)]
+    return rows + [(None, f"null {i % 9}.") for i in range(40)]
+
+
+@pytest.mark.parametrize("chunk, block", [(5, 2), (5, 256), (30, 4), (500, 256)])
+def test_skewed_ids(spark, duck, same, monkeypatch, chunk, block):
+    for name, value in {"CHUNK_ROWS": chunk, "BLOCK": block, "COPIES": 7}.items():
+        monkeypatch.setattr(m, name, value)
+    docs = spark.createDataFrame(skewed(), "doc_id long, text string").repartition(5)
+    frame = pd.DataFrame(skewed(), columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": "string"})
+    same(m.query(docs).toPandas().astype({"doc_id": "Int64"}), duck(fingerprint_sql(), documents=frame))
+
+
+def test_chunks_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(m, "CHUNK_ROWS", 50)
+    ids = [*range(5000), 1 << 60] + [123] * 2500
+    docs = spark.createDataFrame([(i, f"t {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    sizes = {r.chunk: r["count"] for r in m._chunked(docs).groupBy("chunk").count().collect()}
+    assert sum(sizes.values()) == 7501 and len(sizes) > 150
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes.values()) <= 2 * 2501 / parts and sorted(sizes.values())[-parts - 1] < 50
