@@ -10,12 +10,18 @@ the split is a stable arithmetic hash instead of a random shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.metrics import regression_metrics
 from inkwell.operators.similarity import _with_one_row
 
 FEATURES = ["price", "page_count", "day_of_week", "month", "quarter", "is_weekend",
@@ -103,6 +109,48 @@ def forest_metrics(model: PipelineModel, train: DataFrame, test: DataFrame) -> D
     return _with_one_row(m, n_train).select("mae", "rmse", "train_samples", "test_samples")
 
 
+def by_fold(frame: DataFrame, folds: DataFrame, path: str) -> DataFrame:
+    """Complete rows with the ``fold`` of their day (``folds``: sale_date, fold),
+    written by fold, so that a split's training reads the folds before it only.
+    A feature of a row is made of its day and of earlier ones; days without a fold
+    are left out."""
+    rows = complete_rows(frame).join(folds.select("sale_date", "fold"), "sale_date")
+    rows.hint("rebalance", "fold").write.mode("overwrite").partitionBy("fold").parquet(path)
+    return frame.sparkSession.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
+def rolling_origin(rows: DataFrame, n_folds: int, fit: Callable[[DataFrame], PipelineModel] = fit_forest,
+                   at_once: int = 4) -> DataFrame:
+    """(split, sale_date, book_id, label, prediction) of an expanding window: the
+    model of split s is fitted once, on folds 1..s, and predicts fold s + 1. At
+    most ``at_once`` splits are fitted at a time, their jobs side by side on the
+    executors. A split without training rows has no model and no predictions."""
+    spark = rows.sparkSession
+
+    def split(s: int) -> DataFrame | None:
+        train = rows.where(F.col("fold") <= s)
+        if train.isEmpty():
+            return None
+        scored = fit(train).transform(rows.where(F.col("fold") == s + 1))
+        return scored.select(F.lit(s).alias("split"), "sale_date", "book_id", F.col(TARGET).alias("label"), "prediction")
+
+    with ThreadPool(max(1, min(at_once, n_folds - 1))) as pool:
+        made = [df for df in pool.map(inheritable_thread_target(spark)(split), range(1, n_folds)) if df is not None]
+    empty = spark.createDataFrame([], "split int, sale_date date, book_id long, label long, prediction double")
+    return reduce(DataFrame.unionByName, made) if made else empty
+
+
+def rolling_origin_metrics(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """mae, rmse and r2 of every split, with the rows it was fitted and tested on."""
+    per = regression_metrics(predictions, by=["split"]).select("split", "mae", "rmse", "r2")
+    tested = predictions.groupBy("split").agg(F.count(F.lit(1)).alias("test_samples"))
+    sizes = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))  # one row a fold
+    split = F.col("split")
+    trained = F.sum(F.when(F.col("fold") <= split, F.col("n"))).alias("train_samples")
+    sizes = tested.join(F.broadcast(sizes), F.col("fold") <= split).groupBy("split", "test_samples").agg(trained)
+    return per.join(sizes, "split").select("split", "mae", "rmse", "r2", "train_samples", "test_samples")
+
+
 def feature_importance(model: PipelineModel) -> list[tuple[str, float]]:
     forest = model.stages[-1]
     imp = forest.featureImportances.toArray()

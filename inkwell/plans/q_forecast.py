@@ -4,9 +4,11 @@ checked by rows and invariants (tests); everything else has an oracle."""
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
+from inkwell.operators import extras as X
 from inkwell.operators import forecast as FC
 from inkwell.operators import metrics as MT
 from inkwell.operators.incremental import read_table
@@ -95,6 +97,17 @@ register("demand_forecast", None)(
 register("feature_importance", None)(
     lambda m: m.spark.createDataFrame(FC.feature_importance(trained(m)[0]), "feature string, importance double"))
 
+
+def _rolling_origin(m, n_folds=5):
+    path = scratch_dir(m.spark, f"folds-{uuid.uuid4().hex}")
+    rows = FC.by_fold(training_frame(m), X.time_series_folds(m.daily_demand, n_folds), path)
+    # The predictions are written: each forest scores its fold once.
+    FC.rolling_origin(rows, n_folds).write.parquet(f"{path}-predictions")
+    return FC.rolling_origin_metrics(rows, m.spark.read.parquet(f"{path}-predictions"))
+
+
+register("demand_rolling_origin", None)(_rolling_origin)
+
 # -- metrics over naive forecasts of the feature table -----------------------------
 cte("naive_eval", """
 SELECT book_id, sale_date, CAST(date_trunc('month', sale_date) AS DATE) AS ts, daily_quantity AS label,
