@@ -165,6 +165,8 @@ def write_upsert(spark: SparkSession, target_path: str, batch: DataFrame,
         build_locator(spark, target_path, key, partition_cols)
     one_per_key(new_rows(target, batch, mark) if mark else batch, keys, order).write.parquet(f"{aside}/batch")
     fresh = spark.read.schema(batch.schema).parquet(f"{aside}/batch").select(*target.columns)
+    if fresh.isEmpty():  # a micro-batch of nothing new
+        return spark.read.schema(target.schema).parquet(target_path)
     entries = _located(fresh, keys, partition_cols)
     old = _holding(spark.read.schema(entries.schema).parquet(names), entries, partition_cols)
     touched = fresh.select(*partition_cols).unionByName(old).distinct()

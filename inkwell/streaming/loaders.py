@@ -5,12 +5,18 @@
   transaction_id into a partitioned fact table. ``foreachBatch`` rewrites
   only the partitions a micro-batch touches; the upsert is idempotent, so
   a replayed batch after a failure leaves the same table (the streaming
-  checkpoint records which files were taken).
+  checkpoint records which files were taken). Rows that arrive again
+  unchanged are dropped by keyed state before the merge, so that replayed
+  files rewrite no partition.
 * ``campaign_window_stream``: raw events -> daily per-campaign impressions
   and clicks with a watermark (late events beyond it are dropped, state of
   closed windows is evicted), emitted in update mode and upserted by
   (user_id, window_date), so the table holds every window's latest value.
 
+State is kept by the provider that the session names
+(``spark.sql.streaming.stateStore.providerClass``); for billions of keys that
+should be RocksDB, whose state is on the executors' disks, not in their heaps.
+
 ``trigger(availableNow=True)`` processes what has landed and stops, the
 batch-scheduled way to run a stream; the same query runs continuously
 with a processing-time trigger.
@@ -60,13 +66,31 @@ def land_files(df: DataFrame, folder: str) -> str:
     return folder
 
 
+def without_replays(arrivals: DataFrame, key: str, horizon: str) -> DataFrame:
+    """Rows of a stream whose key has not arrived with the same contents in the
+    last ``horizon``. State holds a key and a digest of its row and is evicted
+    after ``horizon`` of processing time: the watermark follows the clock of the
+    micro-batches, not a time in the data, so no row is ever too late. Null keys
+    and null values are contents like any other."""
+    # Cast values in a JSON array: nulls, separators and microseconds all tell rows apart.
+    row = F.md5(F.to_json(F.array(*[F.col(c).cast("string") for c in arrivals.columns])))
+    seen = arrivals.withColumn("_row", row).withColumn("_arrived", F.current_timestamp())
+    seen = seen.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark([key, "_row"])
+    return seen.drop("_row", "_arrived")
+
+
 def fact_sales_stream(spark: SparkSession, landing: str, dim_books: DataFrame, target: str,
                       checkpoint: str, files_per_batch: int | None = None,
-                      version: str | None = "created_at") -> DataFrame:
+                      version: str | None = "created_at", replay_horizon: str = "7 days") -> DataFrame:
     """Load every landed raw-sales file into the fact table; returns it. A run
     takes as long as what has landed needs. A sale that arrives again replaces
     the stored one unless its ``version`` is lower, so that corrections,
-    replays and arrivals out of order leave its latest version."""
+    replays and arrivals out of order leave its latest version.
+
+    Rows that come again unchanged within ``replay_horizon`` do not reach the
+    merge; later ones do, and the merge leaves the table as it is. Of rows with
+    one key and version but different contents the last new one stands. Without
+    a version an old row may be meant to return, so every row is merged."""
     books = dim_books.select("book_id", "publisher_id", "genre", "format", "price_category",
                              "length_category")
 
@@ -76,6 +100,8 @@ def fact_sales_stream(spark: SparkSession, landing: str, dim_books: DataFrame, t
                                  version=version)
 
     stream = _arrivals(spark, RAW_SALES, files_per_batch).parquet(landing)
+    if version:
+        stream = without_replays(stream, "transaction_id", replay_horizon)
     q = (stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
