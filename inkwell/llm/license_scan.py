@@ -118,23 +118,40 @@ misrepresented as being the original software.
 }
 #: Notices known by a whole line (fixed values).
 NOTICES = {
+    "0BSD": ("SPDX-License-Identifier: 0BSD",),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3",
+                 "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later"),
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0",
                    'Licensed under the Apache License, Version 2.0 (the "License");',
                    "SPDX-License-Identifier: Apache-2.0"),
+    "Artistic-2.0": ("SPDX-License-Identifier: Artistic-2.0",),
+    "BSD-2-Clause": ("SPDX-License-Identifier: BSD-2-Clause",),
     "BSD-3-Clause": ("SPDX-License-Identifier: BSD-3-Clause",),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0", "SPDX-License-Identifier: CC-BY-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "CC0-1.0": ("SPDX-License-Identifier: CC0-1.0",),
+    "EPL-2.0": ("SPDX-License-Identifier: EPL-2.0",),
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2",
-                "SPDX-License-Identifier: GPL-2.0-only"),
+                "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-or-later"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3",
-                "SPDX-License-Identifier: GPL-3.0-only"),
+                "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "ISC": ("SPDX-License-Identifier: ISC",),
     "MIT": ("Released under the MIT License", "Licensed under the MIT License",
             "SPDX-License-Identifier: MIT"),
     "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0",),
+    "OFL-1.1": ("SPDX-License-Identifier: OFL-1.1",),
+    "Unlicense": ("SPDX-License-Identifier: Unlicense",),
+    "Zlib": ("SPDX-License-Identifier: Zlib",),
 }
 #: Published texts of the longer licences, one file each, as their stewards print them.
 TEXTS = Path(__file__).parent / "licences"
+#: What stands before some of them where a work carries them (fixed values).
+PREFACES = {"OFL-1.1": tuple(
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.\n"
+    f"This license is copied below, and is also available with a FAQ at: {address}\n"
+    for address in ("http://scripts.sil.org/OFL", "https://openfontlicense.org"))}
 #: Title lines of the licences above (fixed values); each also goes with "The" before it.
 TITLES = {
     "MIT": ("MIT License", "MIT License (MIT)", "MIT", "Expat License", "MIT License (Expat)", "License: MIT"),
@@ -188,7 +205,8 @@ WORDINGS = {
 }
 #: List enumerators of the first, second and third condition; bullets leave none.
 ENUMERATORS = (("1", "2", "3"), ("", "", ""), ("a", "b", "c"), ("i", "ii", "iii"))
-_STARTS = ("redistributions of source code must", "redistributions in binary form must", "neither the name",
+#: How the listed conditions start, as canonical text, three to a licence (fixed values).
+STARTS = ("redistributions of source code must", "redistributions in binary form must", "neither the name",
            "the origin of this software", "altered source versions", "this notice may not be removed")
 _SPELT = " (" + "|".join(SPELLINGS) + ") "
 
@@ -227,20 +245,21 @@ def _worded(licence: str, body: str) -> set[str]:
         text = body
         for words, others in chain(*sets):
             text = text.replace(words, others)
-        for k, start in enumerate(_STARTS):
+        for k, start in enumerate(STARTS):
             text = text.replace(f" {k % 3 + 1} {start}", f" {marks[k % 3]} {start}".replace("  ", " "))
         out.add(text)
     return out
 
 
-def _texts() -> list[tuple[str, str]]:
-    """(licence, text) of the published texts, whole and up to the end of the
-    terms, where instructions for use follow."""
+def texts() -> list[tuple[str, str]]:
+    """(licence, text) of the published texts: whole, up to the end of the terms
+    where instructions for use follow, and after their prefaces."""
     found = []
     for path in sorted(TEXTS.glob("*.txt")):
         text = path.read_text("utf-8")
         terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
-        found += [(path.stem, x) for x in dict.fromkeys((text, terms, terms + end))]
+        prefaced = [preface + text for preface in PREFACES.get(path.stem, ())]
+        found += [(path.stem, x) for x in dict.fromkeys((text, terms, terms + end, *prefaced))]
     return found
 
 
@@ -251,7 +270,7 @@ def known_licences(spark: SparkSession, licences: dict[str, str] = LICENCES,
     digest that several have belongs to the first in code point order."""
     rows = [("form", k, v) for k, v in licences.items()]
     rows += [("title", k, the + t) for k, ts in TITLES.items() for t in ts for the in ("", "The ")]
-    rows += [("text", k, v) for k, v in _texts()]
+    rows += [("text", k, v) for k, v in texts()]
     rows += [("notice", k, v) for k, lines in notices.items() for v in lines]
     given = spark.createDataFrame(rows, "kind string, licence string, text string")
     plain = given.select("kind", "licence", canonical(F.col("text")).alias("c")).collect()

@@ -196,13 +196,36 @@ def licence_sql() -> str:
         f"CASE WHEN regexp_matches(lower(x), {text(m.COPYRIGHT)}) THEN '' ELSE "
         r"' ' || regexp_replace(lower(x), '[^\p{L}\p{N}]+', '  ', 'g') || ' ' END), "
         f"lambda x: trim(regexp_replace({spelt}, ' +', ' ', 'g'))), lambda x: x <> '')")
-    rows = [("text", k, v) for k, v in m.LICENCES.items()]
+    rows = [("form", k, v) for k, v in m.LICENCES.items()]
+    rows += [("text", k, v) for k, v in m.texts()]
+    rows += [("title", k, the + t) for k, ts in m.TITLES.items() for t in ts for the in ("", "The ")]
     rows += [("notice", k, v) for k, ls in m.NOTICES.items() for v in ls]
-    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    values = lambda rs: ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rs)
+    # Two replacements each; "~" is in no canonical text.
+    wordings = [(k, str(i), *[w for pair in (*alt, ("~", "~"), ("~", "~"))[:2] for w in pair])
+                for k, sets in m.WORDINGS.items() for i, alts in enumerate(sets) for alt in alts]
+    worded = lambda i, of: (
+        "SELECT licence, replace(replace(c, coalesce(a, '~'), coalesce(b, '~')), coalesce(x, '~'), coalesce(y, '~')) AS c "
+        f"FROM {of} LEFT JOIN (SELECT * FROM wording WHERE i = '{i}') USING (licence)")
+    marked = "c"
+    for k, start in enumerate(m.STARTS):
+        mark = f"m{k % 3 + 1}"
+        marked = f"replace({marked}, ' {k % 3 + 1} {start}', CASE {mark} WHEN '' THEN '' ELSE ' ' || {mark} END || ' {start}')"
     return f"""
-WITH known AS (
-  SELECT kind, sha256(array_to_string({lines('t')}, ' ')) AS digest, min(licence) AS licence
-  FROM (VALUES {values}) v(kind, licence, t) GROUP BY ALL),
+WITH plain AS (
+  SELECT kind, licence, array_to_string({lines('t')}, ' ') AS c FROM (VALUES {values(rows)}) v(kind, licence, t)),
+wording AS (SELECT * FROM (VALUES {values(wordings)}) v(licence, i, a, b, x, y)),
+mark AS (SELECT * FROM (VALUES {values(m.ENUMERATORS)}) v(m1, m2, m3)),
+form AS (SELECT licence, c FROM plain WHERE kind = 'form'),
+form1 AS ({worded(0, 'form')}),
+form2 AS ({worded(1, 'form1')}),
+form3 AS (SELECT DISTINCT licence, {marked} AS c FROM form2, mark),
+known AS (
+  SELECT kind, sha256(c) AS digest, min(licence) AS licence FROM (
+    SELECT kind, licence, c FROM plain WHERE kind IN ('text', 'notice')
+    UNION ALL SELECT 'text', licence, c FROM form3
+    UNION ALL SELECT 'text', licence, t.c || ' ' || f.c FROM form3 f JOIN plain t USING (licence) WHERE kind = 'title')
+  GROUP BY ALL),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {lines("coalesce(text, '')")} AS ls FROM documents),
 n AS (
   SELECT rid, count(*) AS n_notices, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices

@@ -3,9 +3,11 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from inkwell.llm import license_scan, quality_mil, quality_rules
+from inkwell.llm.queries import ORACLES
 
 SF = "/root/testdata/sf0.01"
 
@@ -88,8 +90,8 @@ def test_licences(spark):
                    5: (None, 0, ""), 6: (None, 0, "")}
 
 
-def test_licences_in_published_form(spark):
-    """Title, bullets, other parties and the longer licences' own texts."""
+def test_licences_in_published_form(spark, duck, same):
+    """Title, bullets, other parties and the longer licences' own texts; SQL agrees."""
     known = license_scan.LICENCES
     owner = "Copyright (c) 2024, A. Person\n\n"
     bullets = known["BSD-3-Clause"]
@@ -97,6 +99,7 @@ def test_licences_in_published_form(spark):
         bullets = bullets.replace(f"\n{k}. ", "\n* ")
     regents = (known["BSD-3-Clause"].replace("COPYRIGHT HOLDERS AND", "REGENTS AND")
                .replace("COPYRIGHT HOLDER OR", "REGENTS OR").replace("the copyright holder nor", "the University nor"))
+    ofl = (license_scan.TEXTS / "OFL-1.1.txt").read_text()
     apache = (license_scan.TEXTS / "Apache-2.0.txt").read_text()
     texts = {
         "MIT": ["MIT License\n\n" + owner + known["MIT"], "The MIT License (MIT)\n" + owner + known["MIT"]],
@@ -108,9 +111,13 @@ def test_licences_in_published_form(spark):
         "Zlib": ["zlib License\n\n(C) 2024 A. Person\n" + known["Zlib"]],
         "Apache-2.0": [apache, apache.split("   END OF TERMS")[0], apache.replace("[yyyy] [name of copyright owner]", "2024 Me")],
         **{k: [(license_scan.TEXTS / f"{k}.txt").read_text()]
-           for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0")},
+           for k in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0",
+                     "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "Artistic-1.0-Perl", "Artistic-2.0", "BSL-1.0", "Unlicense")},
+        "OFL-1.1": [ofl, owner + license_scan.PREFACES["OFL-1.1"][0] + "\n\n" + ofl.upper()],
         None: ["MIT License", "ISC License\n" + known["MIT"], "BSD 3-Clause License\n" + known["BSD-2-Clause"]]}
     rows = [(i, k, t) for i, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     got = {r.doc_id: r.licence for r in license_scan.scan(docs).collect()}
     assert got == {i: k for i, k, _ in rows}
+    frame = pd.DataFrame([(i, t) for i, _, t in rows], columns=["doc_id", "text"])
+    same(license_scan.scan(docs).toPandas(), duck(ORACLES["op3_license_scan"], documents=frame))
