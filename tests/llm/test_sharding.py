@@ -38,3 +38,22 @@ def test_law_and_reruns(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(rows)
     with pytest.raises(ValueError):
         sh.document_shards(docs, 0)
+
+
+def test_walks_are_as_long_as_they_must_be(spark):
+    """Domains far larger than n: every walk ends inside, none is cut short."""
+    for n, a, b in ((10, 13, 11), (37, 40, 9), (3, 17, 19), (100, 10, 10), (1, 5, 5)):
+        perm = sh.Permutation(n, "walk", a, b)
+        places = [r[0] for r in spark.range(n).select(perm.place(F.col("id"))).collect()]
+        assert sorted(places) == list(range(n))
+        assert [perm.inverse(p) for p in places] == list(range(n))
+        walked = []
+        for p in places:  # passes back to the row number, less one
+            x, steps = perm._back(p), 0
+            while x >= n:
+                x, steps = perm._back(x), steps + 1
+            walked.append(steps)
+        assert perm.longest_walk() == max(walked)
+    for n in (10 ** 9 + 7, 10 ** 12 + 39):
+        perm = sh.Permutation.of(n, "inkwell")
+        assert 0 < perm.a * perm.b - n < 4000 and perm.longest_walk() <= 3
