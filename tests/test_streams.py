@@ -33,10 +33,11 @@ def load(spark, tmp_path):
 
 
 def test_replays_rewrite_nothing(load):
-    first = [sale("a", 1, 9, 4), sale("c", 2, 3, 1, book=2), sale("c", 2, 3, 1, book=2)]
+    first = [sale("a", 1, 9, 4), sale("c", 2, 3, 1, book=2), sale("c", 2, 3, 1, book=2),
+             sale(None, 2, 6, 1)]
     second = [sale("a", 2, 1, 3), sale("b", 1, 2, 1), sale("c", 3, 5, 2)]  # a: too late; c: moves month
     table, files = load(first, second + [sale("d", 1, 1, 1)])
-    assert table == {"a": (1, 9), "b": (1, 2), "c": (3, 5), "d": (1, 1)}
+    assert table == {"a": (1, 9), "b": (1, 2), "c": (3, 5), "d": (1, 1), None: (2, 6)}
     again, same = load(second + first)
     assert again == table and same == files
 
