@@ -1,8 +1,10 @@
 """Best items of users against plain computations over all users and items."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from inkwell.operators import similarity as S
 from inkwell.operators import user_items as U
 
 
@@ -95,3 +97,46 @@ def test_short_items_are_not_multiplied(spark, monkeypatch):
     U.inner_product_topk(u, i, u.selectExpr("user_id", "0L AS book_id"), 5, block_size=64).collect()
     groups = 2000 // 64
     assert sum(seen) < 20 * groups / 3
+
+
+def test_pieces_of_a_large_block(spark, monkeypatch):
+    """Products formed a piece at a time, users a few at a time, give the scores of whole products."""
+    rng = np.random.default_rng(5)
+    vec = rng.normal(size=(60, 4))
+    vec[7] = vec[11] = vec[30]  # copies: ties
+    vec[13] = 0
+    vec = vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
+    v = spark.createDataFrame([(i, vec[i].tolist()) for i in range(60)], "book_id long, vec array<double>")
+    owned = [(f"u{u}", int(i), int(rng.integers(1, 9))) for u in range(5) for i in rng.choice(60, 25, False)]
+    o = spark.createDataFrame(owned, "user_id string, book_id long, rating long")
+    want = lists(U.user_recommendations(v, o, 6, blocks=1))
+    near = lambda: sorted((r.book_id, r["rank"], r.other_id) for r in S.item_similarity_topk(v, 4).collect())
+    whole = near()
+    for name, value in (("ROWS", 7), ("STRIP", 9)):
+        monkeypatch.setattr(S, name, value)
+        monkeypatch.setattr(U, name, value)
+    monkeypatch.setattr(U, "USERS_AT_ONCE", 2)
+    pdf = v.toPandas()
+    ids, x = S._matrix(pdf)
+    assert sorted((int(a), int(b)) for a, b in S._topk_product(ids, x, ids, x, 4)[["book_id", "other_id"]].to_numpy()) == \
+        sorted((a, b) for a, _, b in whole)
+    rated = {i: [(u, r) for u, j, r in owned if j == i] for i in range(60)}
+    pdf = pdf[pdf["book_id"].map(lambda i: len(rated[i]) > 0)]  # only books of interactions count
+    pdf = pdf.assign(who=[np.array([u for u, _ in rated[i]], object) for i in pdf["book_id"]],
+                     how=[[r for _, r in rated[i]] for i in pdf["book_id"]])
+    left, right = pdf[pdf["book_id"] < 33].assign(role="L", pi=0, pj=1), pdf[pdf["book_id"] >= 33].assign(role="R", pi=0, pj=1)
+    sums = [U._pair_sums(pd.concat([left, right]))]
+    for b, side in ((0, left), (1, right)):
+        sums.append(U._pair_sums(pd.concat([side.assign(role=r, pi=b, pj=b) for r in "LR"])))
+    total = pd.concat(sums).groupby(["user_id", "book_id"])[["num", "den"]].sum()
+    mine = {(u, i) for u, i, _ in owned}
+    got = {k: n / d for k, (n, d) in zip(total.index, total.to_numpy()) if d > 0 and k not in mine}
+    for user, rows in want.items():
+        best = sorted(((-round(s, 9), i) for (u, i), s in got.items() if u == user))[:6]
+        assert [i for _, i in best] == rows
+
+
+def test_blocks_grow_before_their_number():
+    """From 16 blocks on, blocks grow first: an item is shuffled for 20 blocks of 1.2 million items, not for 293."""
+    assert [S.paired_blocks(n, 20) for n in (1, 5000, 65_536, 120_000, 1_200_000)] == [1, 2, 16, 16, 19]
+    assert S.paired_blocks(1_200_000, 4096) == 293
