@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.retrieval import _score, _search, bm25_index, query_terms, term_frequencies
+from inkwell.operators.retrieval import _score, _search, bm25_index, few, query_terms, query_vocabulary
 from inkwell.operators.similarity import _topk_rows
 
 #: Weights of the settings.
@@ -39,10 +39,10 @@ def hashed_vectors(terms: DataFrame) -> DataFrame:
     digest = F.md5(F.col("term").cast("binary"))
     dim = F.pmod(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(DIMS))
     sign = F.when(F.substring(digest, 5, 1) < "8", F.lit(1.0)).otherwise(F.lit(-1.0))
-    cells = terms.groupBy("id", dim.alias("dim")).agg(F.sum(sign * F.col("weight")).alias("w"))
-    folded = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "w"))).alias("m"))
-    raw = folded.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)),
-                                          lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("v"))
+    # One sum for each dimension: a partial aggregate leaves a row for each text before the shuffle.
+    sums = [F.coalesce(F.sum(F.when(F.col("dim") == i, F.col("w"))), F.lit(0.0)) for i in range(DIMS)]
+    raw = terms.select("id", dim.alias("dim"), (sign * F.col("weight")).alias("w")).groupBy("id").agg(
+        F.array(*sums).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return raw.select("id", F.when(norm > 0, F.transform("v", lambda x: x / norm)).otherwise(F.col("v")).alias("vec"))
 
@@ -99,12 +99,12 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 5, bm25_weight: fl
     Ids are unique. A query without any term of the corpus has no rows; a
     document without terms has cosine 0. A document that shares no term with the
     query has BM25 score 0, and may be found for its cosine."""
-    postings, stats = bm25_index(docs, doc_id, text)
+    postings, stats, counts = bm25_index(docs, doc_id, text, query_vocabulary(queries, text))
     n_docs = docs.count()
     qterms = query_terms(queries, stats, query_id, text).checkpoint()
-    idf = postings.groupBy("term").agg(F.log(F.lit(1.0) + F.lit(n_docs) / F.count(F.lit(1))).alias("rarity"))
+    idf = few(stats.select("term", F.log(F.lit(1.0) + F.lit(n_docs) / F.col("df")).alias("rarity")))
     weighted = lambda x, n: x.join(idf, "term").select("id", "term", (F.col(n) * F.col("rarity")).alias("weight"))
-    made = hashed_vectors(weighted(postings.select("id", "term", "tf"), "tf"))
+    made = hashed_vectors(weighted(counts.select("id", "term", "tf"), "tf"))
     zero = F.array_repeat(F.lit(0.0), DIMS)
     vectors = docs.select(F.col(doc_id).cast("long").alias("id")).join(made, "id", "left").select(
         "id", F.coalesce("vec", zero).alias("vec")).checkpoint()

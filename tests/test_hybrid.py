@@ -71,3 +71,17 @@ def test_no_queries(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     q = spark.createDataFrame([(1, "zzz")], "item_id long, text string")
     assert H.hybrid_topk(q, d).collect() == []
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    """Terms are counted in the row of their text; rows of one id are still added up. Only query terms are stored."""
+    from inkwell.operators import retrieval as R
+    d = spark.createDataFrame([(1, "b a, b B"), (2, None), (3, ""), (4, "c")], "doc_id long, text string")
+    rows = R.term_frequencies(d, "doc_id", "text")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, rows.select("id", "term", "dl", "tf").collect())) == [(1, "a", 4, 1), (1, "b", 4, 3), (4, "c", 1, 1)]
+    twice = R.term_frequencies(d.unionByName(d.limit(1)), "doc_id", "text").select("id", "term", "dl", "tf")
+    assert sorted(map(tuple, twice.collect())) == [(1, "a", 4, 2), (1, "b", 4, 6), (4, "c", 1, 1)]
+    words = spark.createDataFrame([("a zz",)], "text string")
+    postings, stats, _ = R.bm25_index(d, queries=R.query_vocabulary(words, "text"))
+    assert [r.term for r in postings.collect()] == ["a"] and stats.count() == 3
