@@ -4,6 +4,7 @@ import datetime as dt
 import math
 
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from inkwell.operators import extras as X
@@ -47,3 +48,17 @@ def test_folds_without_rows(spark, frame, tmp_path):
     rows = FC.by_fold(frame, days, str(tmp_path / "f"))
     none = FC.rolling_origin(rows, 3)
     assert none.count() == 0 and FC.rolling_origin_metrics(rows, none).count() == 0
+
+
+def test_levels_do_not_walk_the_trees_again(spark):
+    days = [(b, dt.date(2001, 1, 1) + dt.timedelta(d), (7 * b + d * d) % 11, 10.0 + b, 100 + b)
+            for b in range(4) for d in range(30)]
+    sold = spark.createDataFrame(days, "book_id long, sale_date date, daily_quantity long, price double, page_count int")
+    train = FC.complete_rows(FC.demand_training_frame(sold.drop("price", "page_count"),
+                                                      sold.select("book_id", "price", "page_count").distinct()))
+    model = FC.fit_forest(train, num_trees=3, max_depth=4)
+    assert model.stages[-1].getOrDefault("cacheNodeIds")
+    # The forest is the one that walks from the root.
+    plain = RandomForestRegressor(labelCol=FC.TARGET, numTrees=3, maxDepth=4, seed=42)
+    walked = plain.fit(model.stages[0].transform(train))
+    assert model.stages[-1].toDebugString.split("\n")[1:] == walked.toDebugString.split("\n")[1:]
