@@ -51,3 +51,10 @@ def test_past_the_horizon_the_merge_decides(load):
 def test_without_a_version_every_row_is_merged(load):
     table, _ = load([sale("a", 1, 1, 1)], [sale("a", 1, 2, 1)], [sale("a", 1, 1, 1)], version=None)
     assert table == {"a": (1, 1)}
+
+
+def test_a_load_writes_one_file_into_a_folder(load, tmp_path):
+    table, files = load([sale(f"k{i}", 1 + i % 2, 1, 1) for i in range(300)])
+    assert len(table) == 300 and len(files) == 2
+    keys = [p.parent for p in Path(f"{tmp_path}/facts__keys").rglob("*.parquet")]
+    assert len(keys) == len(set(keys))
