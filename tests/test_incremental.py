@@ -97,3 +97,21 @@ def test_small_batches_read_few_buckets_of_the_locator(spark, tmp_path):
     assert "bucket" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
     none = inc._holding(locator, entries.limit(0), ("y", "m"))
     assert none.collect() == []
+
+
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_only_rows_of_repeated_keys_are_compared(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(inc, "MAX_REPEATED", broadcast)
+    compared = []
+    whole = inc.one_per_key
+
+    def one_per_key(rows, keys, mark):
+        compared.append(sorted(rows.toPandas()["v"]))
+        return whole(rows, keys, mark)
+    monkeypatch.setattr(inc, "one_per_key", one_per_key)
+    rows = [("a", 1, 1, 1, 5), ("a", 2, 1, 2, 7), (None, 3, 1, 1, 1), (None, 4, 1, 1, 1), ("b", 5, 1, 1, 1), ("c", 6, 1, 2, 1)]
+    out = inc.write_upsert(spark, str(tmp_path / "t"), frame(spark, rows), **OPTIONS)
+    assert {r.k: r.v for r in out.collect()} == {"a": 2, None: 4, "b": 5, "c": 6}
+    assert compared == [[1, 2, 3, 4] if broadcast else [1, 2, 3, 4, 5, 6]]
+    inc.write_upsert(spark, str(tmp_path / "t"), frame(spark, [("b", 9, 2, 2, 2)]), **OPTIONS)
+    assert len(compared) == 1  # no key repeats, nothing is compared
