@@ -6,6 +6,8 @@ import random
 import pytest
 
 from inkwell.operators import incremental as inc
+from inkwell.operators import marts, staging
+from inkwell.sources.schemas import RAW_SALES
 
 SCHEMA = "k string, v int, y int, m int, at int"
 OPTIONS = {"key": "k", "mark": None, "partition_cols": ("y", "m")}
@@ -115,3 +117,16 @@ def test_only_rows_of_repeated_keys_are_compared(spark, tmp_path, monkeypatch, b
     assert compared == [[1, 2, 3, 4] if broadcast else [1, 2, 3, 4, 5, 6]]
     inc.write_upsert(spark, str(tmp_path / "t"), frame(spark, [("b", 9, 2, 2, 2)]), **OPTIONS)
     assert len(compared) == 1  # no key repeats, nothing is compared
+
+
+def test_the_shuffle_to_the_books_carries_no_parts_of_the_date(spark):
+    sale = ("t", 1, dt.date(2024, 2, 4), 2, 1.0, 0.0, 2.0, "Online", "Retail", "EU", dt.datetime(2024, 2, 4))
+    sales = staging.stg_sales(spark.createDataFrame([sale, (None, 2, None, *sale[3:])], RAW_SALES))
+    books = spark.createDataFrame([(1, 7, "Fiction", "Print", "Mid", "Short")],
+        "book_id long, publisher_id long, genre string, format string, price_category string, length_category string")
+    facts = marts.fact_sales(sales, books)
+    got = {(r.book_id, r.sale_year, r.sale_month, r.day_of_week, r.genre) for r in facts.collect()}
+    assert got == {(1, 2024, 2, 0, "Fiction"), (2, None, None, None, None)}
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join LeftOuter"):]
+    assert "sale_year" not in joined and "day_of_week" not in joined and "transaction_id" in joined
