@@ -2,8 +2,10 @@
 
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 from inkwell.operators import constraints as C
+from inkwell.plans import q_quality
 
 
 def test_batches_equal_the_full_check(spark, tmp_path):
@@ -38,3 +40,28 @@ def test_buckets_without_a_key_are_not_read(spark, tmp_path):
     one = C.key_counts(spark.range(1), "id")
     plan = C.loaded_keys(spark, path, one, "1")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
+def test_the_query_makes_the_facts_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+    rows = [(f"t{i % 38}" if i % 7 else None, b, y) for i, (b, y) in enumerate(
+        (b, y) for b in (1, 89, 97, 194, None) for y in (2000, 2001, 2002, 2003, None) for _ in range(2))]
+    schema = "transaction_id string, book_id long, sale_year int"
+    facts = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    books = spark.createDataFrame([(1,), (89,), (97,)], "book_id long")
+    got = q_quality._constraints(SimpleNamespace(spark=spark, fact_sales=facts, dim_books=books)).collect()
+    sent = [(y % 4 + again, t, -b - 1 if b and b % 89 == 0 else b) for t, b, y in rows if y is not None
+            for again in (0, 1) if not again or (b is not None and b % 97 == 0 and y % 4 < 3)]
+    want = set()
+    for load in range(4):
+        upto = Counter(t for at, t, _ in sent if at <= load)
+        want |= {(load, "unique", t, upto[t]) for at, t, _ in sent if at == load and t and upto[t] > 1}
+        orphans = Counter(b for at, _, b in sent if at == load and b is not None and b not in (1, 89, 97))
+        want |= {(load, "relationships", str(b), n) for b, n in orphans.items()}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert made.value == len(rows)
