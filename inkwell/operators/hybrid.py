@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.operators.retrieval import _score, _search, bm25_index, few, query_terms, query_vocabulary
+from inkwell.operators.retrieval import _postings, _score, _search, bm25_bags, few, query_terms, query_vocabulary
 from inkwell.operators.similarity import _topk_rows
 
 #: Weights of the settings.
@@ -99,7 +99,7 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 5, bm25_weight: fl
     Ids are unique. A query without any term of the corpus has no rows; a
     document without terms has cosine 0. A document that shares no term with the
     query has BM25 score 0, and may be found for its cosine."""
-    postings, stats, counts = bm25_index(docs, doc_id, text, query_vocabulary(queries, text))
+    bags, stats, counts = bm25_bags(docs, doc_id, text, query_vocabulary(queries, text))
     n_docs = docs.count()
     qterms = query_terms(queries, stats, query_id, text).checkpoint()
     idf = few(stats.select("term", F.log(F.lit(1.0) + F.lit(n_docs) / F.col("df")).alias("rarity")))
@@ -112,8 +112,8 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 5, bm25_weight: fl
 
     open_, m, done = qvectors.select(F.col("id").alias("qid")), depth or DEPTH * k, []
     while True:
-        mine = qterms.join(open_, "qid", "left_semi")
-        lists = _blended(postings, vectors, mine, qvectors.join(open_, F.col("id") == F.col("qid"), "left_semi"),
+        mine = qterms.join(open_, "qid", "left_semi").checkpoint()
+        lists = _blended(bags, vectors, mine, qvectors.join(open_, F.col("id") == F.col("qid"), "left_semi"),
                          m, bm25_weight, semantic_weight).checkpoint()
         best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
         ranked = lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -131,20 +131,20 @@ def hybrid_topk(queries: DataFrame, docs: DataFrame, k: int = 5, bm25_weight: fl
                       F.col("rank").cast("int").alias("rank"))
 
 
-def _blended(postings: DataFrame, vectors: DataFrame, qterms: DataFrame, qvectors: DataFrame, m: int,
+def _blended(bags: DataFrame, vectors: DataFrame, qterms: DataFrame, qvectors: DataFrame, m: int,
              bm25_weight: float, semantic_weight: float) -> DataFrame:
     """(qid, id, score, bm25_score, cosine, sure) of the documents in the first
     ``m`` of either list. ``sure``: no document outside can come before it. One
     outside scores at most the blend of the two m-th scores; with that very
     blend it has a greater id than those inside, as lists rank ties by id."""
-    words = _search(postings, qterms, m).checkpoint()
+    words = _search(bags, qterms, m).checkpoint()
     near = semantic_topk(qvectors, vectors, m).checkpoint()
     ends = lambda x, c, name: x.groupBy("qid").agg(
         F.max(c).alias(f"{name}_top"), F.when(F.max("rank") >= m, F.min(c)).otherwise(F.lit(None)).alias(f"{name}_end"))
     pairs = words.select("qid", "id").unionByName(near.select("qid", "id")).distinct().checkpoint()
-    bm25 = _score(pairs, qterms, postings).withColumnRenamed("score", "bm25_score")
+    bm25 = _score(pairs, qterms, _postings(bags)).withColumnRenamed("score", "bm25_score")
     cosine = F.aggregate(F.zip_with("vec", "qvec", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    cos = (pairs.join(vectors, "id").join(qvectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
+    cos = (vectors.join(few(pairs), "id").join(qvectors.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), "qid")
            .select("qid", "id", cosine.alias("cosine")))
     rows = cos.join(bm25, ["qid", "id"], "left").na.fill(0.0, ["bm25_score"])
     rows = rows.join(ends(words, "score", "word"), "qid", "left").join(ends(near, "cos", "near"), "qid", "left")
