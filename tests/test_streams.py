@@ -58,3 +58,19 @@ def test_a_load_writes_one_file_into_a_folder(load, tmp_path):
     assert len(table) == 300 and len(files) == 2
     keys = [p.parent for p in Path(f"{tmp_path}/facts__keys").rglob("*.parquet")]
     assert len(keys) == len(set(keys))
+
+
+def test_state_is_on_disk(spark, load, tmp_path, monkeypatch):
+    """Replays are dropped by state in RocksDB, 16 bytes a row, and the session is as it was."""
+    key, seen, merge = "spark.sql.streaming.stateStore.providerClass", [], loaders.incremental.write_upsert
+    before = spark.conf.get(key)
+    monkeypatch.setattr(loaders.incremental, "write_upsert",
+                        lambda s, *a, **k: seen.append(s.conf.get(key)) or merge(s, *a, **k))
+    table, _ = load([sale("a", 1, 1, 1)], [sale("a", 1, 1, 1), sale("b", 1, 2, 1)])
+    assert table == {"a": (1, 1), "b": (1, 2)}
+    assert seen and set(seen) == {loaders.DISK_STATE[key]} and spark.conf.get(key) == before
+    assert [p for p in (tmp_path / "ck" / "state").rglob("*.changelog")]
+    with loaders.disk_state(spark):
+        spark.conf.set(key, before)
+        with loaders.disk_state(spark):  # what the session names stays
+            assert spark.conf.get(key) == before
