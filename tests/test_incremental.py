@@ -130,3 +130,14 @@ def test_the_shuffle_to_the_books_carries_no_parts_of_the_date(spark):
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[plan.index("Join LeftOuter"):]
     assert "sale_year" not in joined and "day_of_week" not in joined and "transaction_id" in joined
+
+
+def test_tables_and_copies_are_zstd(spark, tmp_path):
+    import pyarrow.parquet as pq
+    rows = lambda load, n: spark.range(n).selectExpr(
+        "cast(id AS string) AS transaction_id", f"{load} AS dbt_updated_at", "2000 AS sale_year", "cast(id % 2 AS int) AS sale_month")
+    for load in (1, 2):
+        inc.write_upsert(spark, str(tmp_path / "facts"), rows(load, 9))
+    found = {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in tmp_path.rglob("*.parquet")
+             if pq.ParquetFile(p).metadata.num_row_groups}
+    assert found == {"ZSTD"}
